@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pii, quality, secret_scan, token_files, url_filter
+from . import hnsw, mixing, pieces, pii, quality, secret_scan, token_files, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,15 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, url_filter.fit(url_filter.labelled_by_terms(pages)))
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return hnsw.nearest(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
+def op10_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_token_counts": op2_token_counts,
@@ -48,6 +57,8 @@ QUERIES: dict[str, Query] = {
     "op5_quality_rules": op5_quality_rules,
     "op7_source_mixing": op7_source_mixing,
     "op8_url_filter": op8_url_filter,
+    "op9_nearest_neighbours": op9_nearest_neighbours,
+    "op10_piece_sampling": op10_piece_sampling,
 }
 SQL: dict[str, str] = {
     "op5_quality_rules": quality.SQL,
