@@ -67,7 +67,7 @@ def delete(spark: SparkSession, path: str) -> None:
 
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of ``df`` (file sizes for a scan)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def text_or_empty(col: str | Column = "text") -> Column:
