@@ -12,7 +12,8 @@ corpus equals it or is near it; earlier means a smaller key, then a smaller line
 2.  A distinct line can only have a near partner if it shares its first or its last half
     with another one (one edit cannot touch both).  Lines that share neither are done.
 3.  The others emit their deletion neighbourhood: a hash for each word left out, and one
-    for the whole.  Equal hashes are joined twice: variants that left out the same
+    for the whole (polynomial hashes to two prime moduli, from running sums over the
+    line's words, so a line of n words costs n steps and not n * n).  Equal hashes are joined twice: variants that left out the same
     position (substitution; within such a group every pair is within the bound, so the
     earliest member alone decides), and variants with whole lines (addition, omission).
 4.  The partner found is verified word by word before a line goes.
@@ -30,19 +31,42 @@ are kept; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage, unstage, words_of
 
 MIN_WORDS = 8
+#: (prime modulus below 2^31, base) of the two polynomial hashes.
+MODULI = ((2147483647, 1103515245), (2147483629, 1664525))
+#: Bits of a line's word count that powers cover.
+POWER_BITS = 30
 LAST = 9223372036854775807
 
 
+def line_words(line: Column) -> Column:
+    """words_of, with a plain split for lines that have single spaces only."""
+    odd = (line == "") | line.startswith(" ") | line.endswith(" ")
+    for c in ("  ", "\t", "\r", "\x0b", "\x0c", "\n"):
+        odd = odd | F.contains(line, F.lit(c))
+    return F.when(odd, words_of(line)).otherwise(F.split(line, " ", -1))
+
+
+def _power(base: int, p: int, i: Column) -> Column:
+    """base ^ i mod p, by the digits of i to the base of 1024."""
+    out = F.lit(1).cast("long")
+    for k in range(0, POWER_BITS, 10):
+        step = pow(base, 1 << k, p)
+        powers = F.array(*[F.lit(pow(step, d, p)).cast("long") for d in range(1024)])
+        digit = F.shiftright(i, k).bitwiseAND(F.lit(1023))
+        out = out * F.get(powers, digit) % F.lit(p) if k else F.get(powers, digit)
+    return out
+
+
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     """o (place of the document), no (line number), words, for lines with words."""
     rows = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(LAST)).alias("o"), F.posexplode(F.split(F.col(f"`{text}`"), "\n", -1)).alias("no", "line"))
-    return rows.select("o", "no", words_of(F.col("line")).alias("words")).filter(F.size("words") > 0)
+    return rows.select("o", "no", line_words(F.col("line")).alias("words")).filter(F.size("words") > 0)
 
 
 def _halves(words: Column, n: Column) -> Column:
@@ -80,20 +104,17 @@ def _near(docs: DataFrame, distinct: DataFrame, key: str, text: str) -> DataFram
     # The lines that meet, once each (rows may repeat a key), with their words.
     lines = texts.join(wanted, "o").select("o", F.split("t", "\n", -1).alias("lines"), "nos")
     lines = lines.select("o", F.explode(F.transform("nos", lambda i: F.struct(i.alias("no"), F.get("lines", i).alias("line")))).alias("x")).select("o", "x.no", "x.line")
-    lines = lines.select(F.struct("o", "no").alias("place"), words_of(F.col("line")).alias("w")).filter(F.size("w") >= MIN_WORDS)
+    lines = lines.select(F.struct("o", "no").alias("place"), line_words(F.col("line")).alias("w")).filter(F.size("w") >= MIN_WORDS)
     lines = stage(lines.groupBy(F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(1), F.col("w"), F.lit(2)).alias("h2")).agg(F.min_by("w", "place").alias("w"), F.min("place").alias("place")).select("place", "w"), "near-lines")
 
-    n = F.size("w")
-    without = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("i"), F.concat(F.slice("w", F.lit(1), i - 1), F.slice("w", i + 1, n - i)).alias("v")))
-    variants = lines.select("place", F.explode(F.transform(without, lambda x: F.struct(x["i"].alias("i"), F.xxhash64(x["v"]).alias("v1"), F.xxhash64(F.lit(1), x["v"], F.lit(2)).alias("v2")))).alias("x"))
-    variants = stage(variants.select("place", "x.i", "x.v1", "x.v2"), "variants")
+    variants = stage(_variants(lines), "variants")
 
     # Substitution: the earliest line that left out the same place with the same rest.
     first = variants.groupBy("v1", "v2", "i").agg(F.min("place").alias("early"), F.count("*").alias("c")).filter("c > 1")
     pairs = variants.join(first, ["v1", "v2", "i"]).filter(F.col("early") < F.col("place")).select("place", "early")
     # Addition and omission: a variant that equals a whole line, either of them earlier.
-    whole = lines.select(F.xxhash64("w").alias("v1"), F.xxhash64(F.lit(1), F.col("w"), F.lit(2)).alias("v2"), F.col("place").alias("short"))
-    one = variants.select("v1", "v2", "place").distinct().join(whole, ["v1", "v2"])
+    whole = variants.filter("i = 1").select(F.col("t1").alias("v1"), F.col("t2").alias("v2"), F.col("place").alias("short"))
+    one = variants.select("v1", "v2", "place").join(whole, ["v1", "v2"])
     longer = one.filter(F.col("short") < F.col("place")).select("place", F.col("short").alias("early"))
     shorter = one.groupBy("short").agg(F.min("place").alias("early")).filter(F.col("early") < F.col("short")).select(F.col("short").alias("place"), "early")
     found = pairs.unionByName(longer).unionByName(shorter).distinct()
@@ -108,6 +129,23 @@ def _near(docs: DataFrame, distinct: DataFrame, key: str, text: str) -> DataFram
     return out
 
 
+def _variants(lines: DataFrame) -> DataFrame:
+    """(place, i, v1, v2, t1, t2): the hashes of each line without its word i, and of the
+    whole line."""
+    words = lines.select("place", F.posexplode(F.transform("w", lambda x: F.xxhash64(x))).alias("k", "h"))
+    terms = [(F.pmod(F.col("h"), F.lit(p)) * _power(base, p, F.col("k")) % F.lit(p)).alias(f"x{j}") for j, (p, base) in enumerate(MODULI)]
+    rows = words.select("place", (F.col("k") + 1).alias("i"), *terms)
+    line = Window.partitionBy("place")
+    upto = line.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    sums = rows.select("place", "i", *[c for j in range(2) for c in (F.col(f"x{j}"), F.sum(f"x{j}").over(upto).alias(f"s{j}"), F.sum(f"x{j}").over(line).alias(f"t{j}"))])
+    out = []
+    for j, (p, base) in enumerate(MODULI):
+        x, s, t = F.col(f"x{j}"), F.col(f"s{j}"), F.col(f"t{j}")
+        # What follows the word moves one place to the left.
+        out.append(((s - x) % p + (t - s) % p * F.lit(pow(base, -1, p)) % p) % p)
+    return sums.select("place", "i", *[v.alias(f"v{j + 1}") for j, v in enumerate(out)], *[(F.col(f"t{j}") % p).alias(f"t{j + 1}") for j, (p, _) in enumerate(MODULI)])
+
+
 def within_one(a: Column, b: Column) -> Column:
     """Edit distance over words at most 1: what follows the common start must agree
     after one word of either or both is left out."""
