@@ -17,11 +17,13 @@ many of them.
 
 *Buckets.*  Signatures travel as packed arrays of 12-byte entries, one row per bucket and
 Arrow batch.  In a bucket, each group of equal signatures gives a star of candidate pairs
-(its least member with every other), never all pairs.  Verified links give components;
-only groups that still span several components are looked at again, pair by pair across
-components.  In a group of more than ``HOT`` members (a passage that many documents
-share) that is done only for sets that have ``least_shared`` or more signatures in such
-groups or empty: any other set shares a signature outside of them with each partner.
+(its least member with every other) with counts, never all pairs.  Pairs that meet in half of
+the signatures they would have to share are verified first; they give most components.  Only
+groups that still span several components are looked at again, pair by pair across
+components, and only pairs that can share ``least_shared`` signatures are verified.  A group
+of more than ``HOT`` members (a passage that many documents share) takes part only with sets
+that have ``least_shared`` signatures or more in such groups or empty: any other set shares a
+signature outside of them with each partner.
 
 Equal sets form one class before any of this, whose least key represents it.  Nothing is
 collected to the driver; components are found by rounds of label minima and pointer
@@ -207,8 +209,9 @@ def _emit(docs: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
     return rows.mapInArrow(run, "bucket int, kind byte, data binary")
 
 
-#: kind 0: a document (x key, y z digest, n size, e e2 empties); 1: candidate pair (x, y);
-#: 2: group member (x group, y ref, n 1 if hot); 3: hot signatures of (x ref, n flag), e of them.
+#: kind 0: a document (x key, y z digest, n size, e e2 empties).  The others name refs, with the
+#: instance in the lowest bit: 1: pair (x, y) in e groups, of two (n 0) or more (n 1); 2: group
+#: member (x group, y ref, n 1 if hot) in e groups of these members; 3: ref x in e hot groups.
 FOUND = "kind byte, x long, y long, z long, n int, e int, e2 int"
 
 
@@ -232,20 +235,22 @@ def _bucket(table: pa.Table) -> pa.Table:
             own = np.flatnonzero(many)
             node = ref & ~U(1)
             star = own != head
-            pairs = np.unique(np.column_stack([node[head[star]], node[own[star]]]), axis=0)
-            pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-            out.append(_rows(1, pairs[:, 0], pairs[:, 1]))
+            wide = np.repeat(size, size)[own] > 2
+            for flag in (0, 1):  # pairs that meet as two, stars of larger groups
+                take = star & (wide == bool(flag))
+                pairs, count = np.unique(np.column_stack([ref[head[take]], ref[own[take]]]), axis=0, return_counts=True)
+                out.append(_rows(1, pairs[:, 0], pairs[:, 1], n=np.full(len(pairs), flag), e=count))
             big = np.flatnonzero(size > 2)
             if len(big):
-                total = np.add.reduceat(mix(node), start)[big] + size[big].astype(U)
-                _, first = np.unique(total, return_index=True)
+                total = np.add.reduceat(mix(ref), start)[big] + size[big].astype(U)
+                total, first, count = np.unique(total, return_index=True, return_counts=True)
                 pick = big[first]
                 at = np.repeat(start[pick] - (np.cumsum(size[pick]) - size[pick]), size[pick]) + np.arange(size[pick].sum())
-                out.append(_rows(2, np.repeat(total[first], size[pick]), node[at], n=np.repeat(size[pick] > HOT, size[pick])))
+                out.append(_rows(2, np.repeat(total, size[pick]), ref[at], n=np.repeat(size[pick] > HOT, size[pick]), e=np.repeat(count, size[pick])))
                 hot = ref[np.repeat(size, size) > HOT]
                 if len(hot):
                     who, count = np.unique(hot, return_counts=True)
-                    out.append(_rows(3, who & ~U(1), n=who & U(1), e=count))
+                    out.append(_rows(3, who, e=count))
     return pa.concat_tables(out)
 
 
@@ -319,19 +324,27 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, tex
     return out
 
 
-def _exceptions(hot: DataFrame, classes: DataFrame) -> DataFrame:
-    """Refs with ``least_shared`` signatures or more that are hot or empty, in an instance."""
+def _nodes(found: DataFrame, classes: DataFrame) -> DataFrame:
+    """One row per class and instance: ref, size, least (shared signatures of two sets that
+    link in it), spare (its signatures that are empty or hot)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            keep = []
-            for n, flag, count, e0, e1 in zip(f["n"], f["flag"], f["count"], f["e0"], f["e1"]):
-                j = next((j for j, later in instances(int(n)) if later == flag), None)
-                keep.append(j is not None and count + (e1 if flag else e0) >= scheme(j)[2])
-            yield f.loc[keep, ["ref"]]
+            rows = [(ref | later, n, scheme(j)[2], e1 if later else e0, j) for ref, n, e0, e1 in zip(f["ref"], f["n"], f["e0"], f["e1"]) for j, later in instances(int(n))]
+            yield pd.DataFrame(rows, columns=["ref", "size", "least", "empty", "inst"])
 
-    counts = hot.groupBy(F.col("x").alias("ref"), F.col("n").alias("flag")).agg(F.sum("e").alias("count"))
-    return counts.join(classes.select("ref", "n", "e0", "e1"), "ref").select("ref", "n", "flag", "count", "e0", "e1").mapInPandas(run, "ref long").distinct()
+    own = classes.groupBy("ref").agg(F.max("n").alias("n"), F.max("e0").alias("e0"), F.max("e1").alias("e1")).mapInPandas(run, "ref long, size int, least int, empty int, inst int")
+    hot = found.filter("kind = 3").groupBy(F.col("x").alias("ref")).agg(F.sum("e").alias("hot"))
+    return stage(own.join(hot, "ref", "left").select("ref", "size", "least", "inst", (F.col("empty") + F.coalesce("hot", F.lit(0))).alias("spare")), "nodes")
+
+
+def _possible(pairs: DataFrame, nodes: DataFrame, enough) -> DataFrame:
+    """The pairs (x, y, c) of one instance with sizes that can link and ``enough``."""
+    a = nodes.select(F.col("ref").alias("x"), F.col("size").alias("sx"), "least", F.col("inst").alias("ix"), F.col("spare").alias("px"))
+    b = nodes.select(F.col("ref").alias("y"), F.col("size").alias("sy"), F.col("inst").alias("iy"), F.col("spare").alias("py"))
+    both = pairs.join(a, "x").join(b, "y").filter((F.col("ix") == F.col("iy")) & (100 * F.least("sx", "sy") >= PERCENT * F.greatest("sx", "sy")))
+    plain = lambda c: F.col(c).bitwiseAND(F.lit(-2))
+    return both.filter(enough).select(F.least(plain("x"), plain("y")).alias("x"), F.greatest(plain("x"), plain("y")).alias("y")).filter("x <> y").distinct()
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -342,28 +355,40 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     classes = rows.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), *[F.max(c).alias(c) for c in ("n", "e0", "e1")])
     classes = stage(classes.withColumn("ref", F.col("d1").bitwiseAND(F.lit(-2))), "classes")
 
-    first = found.filter("kind = 1").select("x", "y").distinct()
+    nodes = _nodes(found, classes)
+    met = found.filter("kind = 1").groupBy("x", "y").agg(F.sum("e").alias("c"), F.sum(F.when(F.col("n") == 0, F.col("e"))).alias("twos"))
+    met = stage(met, "met")
+    # Likely links first: they join most of what belongs together, and settle large groups.
+    first = stage(_possible(met.select("x", "y", "c"), nodes, 2 * F.col("c") >= F.col("least")), "likely")
     links = _verify(first, classes, docs, key, text)
     labels = components(links)
 
-    # Groups that span several components, pair by pair across these.
-    odd = _exceptions(found.filter("kind = 3"), classes)
-    members = found.filter("kind = 2").select(F.col("x").alias("g"), F.col("y").alias("ref"), "n").distinct()
-    members = members.filter("n = 0").select("g", "ref").union(members.filter("n = 1").select("g", "ref").join(odd, "ref", "left_semi"))
-    placed = members.join(classes.select("ref", "rep", F.col("n").alias("size")), "ref").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
-    placed = stage(placed.select("g", "ref", "size", F.coalesce("label", "rep").alias("label")), "members")
+    # Then all pairs across components that share enough signatures to link, however met:
+    # counted ones, and at most those that are hot or empty in both.
+    odd = nodes.filter("spare >= least").select(F.col("ref").alias("y"))
+    members = found.filter("kind = 2").groupBy(F.col("x").alias("g"), "y").agg(F.max("n").alias("hot"), F.sum("e").alias("w"))
+    members = members.filter("hot = 0").unionByName(members.filter("hot = 1").join(odd, "y", "left_semi").select("g", "y", "hot", F.lit(0).cast("long").alias("w")))
+    named = classes.groupBy("ref").agg(F.min("rep").alias("rep")).join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("ref", F.coalesce("label", "rep").alias("label"))
+    named = stage(named, "named")
+    sized = members.withColumn("ref", F.col("y").bitwiseAND(F.lit(-2))).join(named, "ref").select("g", "y", "w", "label")
+    placed = stage(sized.join(nodes.select(F.col("ref").alias("y"), "size"), "y"), "members")
     open_ = placed.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("g")
     left = placed.join(open_, "g", "left_semi")
-    a, b = left.select("g", F.col("ref").alias("x"), F.col("size").alias("sa"), F.col("label").alias("la")), left.select("g", F.col("ref").alias("y"), F.col("size").alias("sb"), F.col("label").alias("lb"))
-    near = a.join(b, "g").filter((F.col("la") < F.col("lb")) & (100 * F.least("sa", "sb") >= PERCENT * F.greatest("sa", "sb")))
-    second = near.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    tried = first.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    more = _verify(second.join(tried, ["x", "y"], "left_anti"), classes, docs, key, text)
+    a = left.select("g", "w", F.col("y").alias("x"), F.col("size").alias("sx"), F.col("label").alias("lx"))
+    b = left.select("g", "y", F.col("size").alias("sy"), F.col("label").alias("ly"))
+    near = a.join(b, "g").filter((F.col("lx") < F.col("ly")) & (100 * F.least("sx", "sy") >= PERCENT * F.greatest("sx", "sy")))
+    twos = met.filter("twos > 0").select("x", "y", F.col("twos").alias("w"))
+    for c, l in (("x", "lx"), ("y", "ly")):
+        twos = twos.withColumn("ref", F.col(c).bitwiseAND(F.lit(-2))).join(named.select("ref", F.col("label").alias(l)), "ref").drop("ref")
+    counted = near.select("x", "y", "w").union(twos.filter("lx <> ly").select("x", "y", "w"))
+    counted = counted.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.sum("w").alias("c"))
+    second = _possible(counted, nodes, F.col("c") + F.least("px", "py") >= F.col("least"))
+    more = _verify(second.join(first, ["x", "y"], "left_anti"), classes, docs, key, text)
     if more.limit(1).count():
         labels = components(links.union(more))
 
-    named = classes.select("d1", "d2", "rep").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("d1", "d2", F.coalesce("label", "rep").alias("component"))
-    out = rows.join(named, ["d1", "d2"], "left")
+    final = classes.select("d1", "d2", "rep").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("d1", "d2", F.coalesce("label", "rep").alias("component"))
+    out = rows.join(final, ["d1", "d2"], "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
