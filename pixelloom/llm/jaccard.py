@@ -18,12 +18,9 @@ many of them.
 *Buckets.*  Signatures travel as packed arrays of 12-byte entries, one row per bucket and
 Arrow batch.  In a bucket, each group of equal signatures gives a star of candidate pairs
 (its least member with every other) with counts, never all pairs.  Pairs that meet in half of
-the signatures they would have to share are verified first; they give most components.  Only
-groups that still span several components are looked at again, pair by pair across
-components, and only pairs that can share ``least_shared`` signatures are verified.  A group
-of more than ``HOT`` members (a passage that many documents share) takes part only with sets
-that have ``least_shared`` signatures or more in such groups or empty: any other set shares a
-signature outside of them with each partner.
+the signatures they would have to share are verified first; they give most components.  What
+may still link across components is found by ``_remaining``: exactly, and without pairs in
+large groups (a passage that many documents share) unless sets have little else.
 
 Equal sets form one class before any of this, whose least key represents it.  Nothing is
 collected to the driver; components are found by rounds of label minima and pointer
@@ -48,16 +45,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import plan_bytes, stage, unstage
 
 SHINGLE, PERCENT = 5, 80
-HOT = 32
 MIN_BUCKETS, BUCKET_BYTES = 256, 16 << 20
 #: Bytes of signatures per byte of stored input, as measured; sets the number of buckets.
 GROWTH = 2.5
+#: Rounds of single tries at most; they save work and decide nothing.
+TURNS = 8
 SLICE = 16 << 20
 
 ENTRY = np.dtype([("sig", "<u4"), ("ref", "<u8")])
@@ -211,7 +209,7 @@ def _emit(docs: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
 
 #: kind 0: a document (x key, y z digest, n size, e e2 empties).  The others name refs, with the
 #: instance in the lowest bit: 1: pair (x, y) in e groups, of two (n 0) or more (n 1); 2: group
-#: member (x group, y ref, n 1 if hot) in e groups of these members; 3: ref x in e hot groups.
+#: member (x group, y ref) in e groups of these same members.
 FOUND = "kind byte, x long, y long, z long, n int, e int, e2 int"
 
 
@@ -246,11 +244,7 @@ def _bucket(table: pa.Table) -> pa.Table:
                 total, first, count = np.unique(total, return_index=True, return_counts=True)
                 pick = big[first]
                 at = np.repeat(start[pick] - (np.cumsum(size[pick]) - size[pick]), size[pick]) + np.arange(size[pick].sum())
-                out.append(_rows(2, np.repeat(total, size[pick]), ref[at], n=np.repeat(size[pick] > HOT, size[pick]), e=np.repeat(count, size[pick])))
-                hot = ref[np.repeat(size, size) > HOT]
-                if len(hot):
-                    who, count = np.unique(hot, return_counts=True)
-                    out.append(_rows(3, who, e=count))
+                out.append(_rows(2, np.repeat(total, size[pick]), ref[at], e=np.repeat(count, size[pick])))
     return pa.concat_tables(out)
 
 
@@ -324,27 +318,79 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, tex
     return out
 
 
-def _nodes(found: DataFrame, classes: DataFrame) -> DataFrame:
-    """One row per class and instance: ref, size, least (shared signatures of two sets that
-    link in it), spare (its signatures that are empty or hot)."""
+def _nodes(classes: DataFrame) -> DataFrame:
+    """One row per class and instance: ref, size, inst, least (shared signatures of two sets
+    that link in it), empty (its signatures that are empty and not emitted)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(ref | later, n, scheme(j)[2], e1 if later else e0, j) for ref, n, e0, e1 in zip(f["ref"], f["n"], f["e0"], f["e1"]) for j, later in instances(int(n))]
-            yield pd.DataFrame(rows, columns=["ref", "size", "least", "empty", "inst"])
+            rows = []
+            for ref, n, e0, e1 in zip(f["ref"], f["n"], f["e0"], f["e1"]):
+                for j, later in instances(int(n)):
+                    least, e = scheme(j)[2], e1 if later else e0
+                    rows.append((ref | later, n, j, least, e if e < least else 0))
+            yield pd.DataFrame(rows, columns=["ref", "size", "inst", "least", "empty"])
 
-    own = classes.groupBy("ref").agg(F.max("n").alias("n"), F.max("e0").alias("e0"), F.max("e1").alias("e1")).mapInPandas(run, "ref long, size int, least int, empty int, inst int")
-    hot = found.filter("kind = 3").groupBy(F.col("x").alias("ref")).agg(F.sum("e").alias("hot"))
-    return stage(own.join(hot, "ref", "left").select("ref", "size", "least", "inst", (F.col("empty") + F.coalesce("hot", F.lit(0))).alias("spare")), "nodes")
+    own = classes.groupBy("ref").agg(F.max("n").alias("n"), F.max("e0").alias("e0"), F.max("e1").alias("e1"))
+    return stage(own.mapInPandas(run, "ref long, size int, inst int, least int, empty int"), "nodes")
 
 
-def _possible(pairs: DataFrame, nodes: DataFrame, enough) -> DataFrame:
-    """The pairs (x, y, c) of one instance with sizes that can link and ``enough``."""
-    a = nodes.select(F.col("ref").alias("x"), F.col("size").alias("sx"), "least", F.col("inst").alias("ix"), F.col("spare").alias("px"))
-    b = nodes.select(F.col("ref").alias("y"), F.col("size").alias("sy"), F.col("inst").alias("iy"), F.col("spare").alias("py"))
-    both = pairs.join(a, "x").join(b, "y").filter((F.col("ix") == F.col("iy")) & (100 * F.least("sx", "sy") >= PERCENT * F.greatest("sx", "sy")))
+def _plain(pairs: DataFrame) -> DataFrame:
+    """Distinct pairs of classes, without the instance bit, least first."""
     plain = lambda c: F.col(c).bitwiseAND(F.lit(-2))
-    return both.filter(enough).select(F.least(plain("x"), plain("y")).alias("x"), F.greatest(plain("x"), plain("y")).alias("y")).filter("x <> y").distinct()
+    return pairs.select(F.least(plain("x"), plain("y")).alias("x"), F.greatest(plain("x"), plain("y")).alias("y")).filter("x <> y").distinct()
+
+
+def _likely(met: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs that meet in half of the signatures they would have to share, or more."""
+    a = nodes.select(F.col("ref").alias("x"), F.col("size").alias("sx"), "least", F.col("inst").alias("ix"))
+    b = nodes.select(F.col("ref").alias("y"), F.col("size").alias("sy"), F.col("inst").alias("iy"))
+    enough = met.filter("c > 2").join(a, "x").filter(2 * F.col("c") >= F.col("least"))  # least is never below 6
+    both = enough.join(b, "y").filter((F.col("ix") == F.col("iy")) & (100 * F.least("sx", "sy") >= PERCENT * F.greatest("sx", "sy")))
+    return _plain(both)
+
+
+def _remaining(members: DataFrame) -> DataFrame:
+    """The group rows in which all pairs across components meet that may still link.
+
+    ``members``: g, y (ref), w (signatures with this group), label, size, inst, least, empty.
+    A pair that links across components shares ``least`` signatures, all in groups that span
+    components (or empty in both).  So (1) groups within one component go, and sets that have
+    too few signatures left go, in turn, until little changes; (2) of each set only the
+    smallest groups are kept, up to the weight that leaves fewer than ``least`` outside: two
+    sets that share ``least`` share one of these (the smallest they share).  Large groups
+    (passages that many documents share) are the last in this order."""
+    held, before = stage(members, "members"), None
+    while True:
+        groups = held.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).filter("lo <> hi").select("g", "m")
+        open_ = held.drop("m", "u").join(groups, "g")
+        enough = open_.groupBy("y").agg(F.sum("w").alias("u"), F.max(F.col("least") - F.col("empty")).alias("need")).filter("u >= need").select("y", "u")
+        after = stage(open_.join(enough, "y"), "members")
+        n = after.count()
+        unstage(held)
+        held = after
+        if n == 0 or before is not None and n > 0.9 * before:
+            break
+        before = n
+    ahead = F.coalesce(F.sum("w").over(Window.partitionBy("y").orderBy("m", "g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = stage(held.withColumn("ahead", ahead).filter("ahead < u + empty - least + 1").select("g", "y", "label", "size", "inst"), "prefix")
+    unstage(held)
+    return out
+
+
+def _across(prefix: DataFrame) -> DataFrame:
+    """All pairs of a group across components, of one instance, with sizes that can link."""
+    a = prefix.select("g", F.col("y").alias("x"), F.col("size").alias("sx"), F.col("label").alias("lx"), F.col("inst").alias("ix"))
+    b = prefix.select("g", "y", F.col("size").alias("sy"), F.col("label").alias("ly"), F.col("inst").alias("iy"))
+    near = a.join(b, "g").filter((F.col("lx") < F.col("ly")) & (F.col("ix") == F.col("iy")) & (100 * F.least("sx", "sy") >= PERCENT * F.greatest("sx", "sy")))
+    return _plain(near)
+
+
+def _one_try(prefix: DataFrame, turn: int) -> DataFrame:
+    """For each set one pair, with one member of one of its groups (other ones each turn)."""
+    centre = prefix.groupBy("g").agg(F.min_by(F.struct("y", "label"), F.xxhash64("y", F.lit(turn))).alias("c"))
+    tried = prefix.join(centre, "g").filter("label <> c.label").groupBy("y").agg(F.min_by("c.y", F.xxhash64("g", F.lit(turn))).alias("x"))
+    return _plain(tried)
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -355,35 +401,38 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     classes = rows.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), *[F.max(c).alias(c) for c in ("n", "e0", "e1")])
     classes = stage(classes.withColumn("ref", F.col("d1").bitwiseAND(F.lit(-2))), "classes")
 
-    nodes = _nodes(found, classes)
-    met = found.filter("kind = 1").groupBy("x", "y").agg(F.sum("e").alias("c"), F.sum(F.when(F.col("n") == 0, F.col("e"))).alias("twos"))
-    met = stage(met, "met")
+    nodes = _nodes(classes)
+    met = stage(found.filter("kind = 1").groupBy("x", "y").agg(F.sum("e").alias("c"), F.sum(F.when(F.col("n") == 0, F.col("e"))).alias("twos")), "met")
     # Likely links first: they join most of what belongs together, and settle large groups.
-    first = stage(_possible(met.select("x", "y", "c"), nodes, 2 * F.col("c") >= F.col("least")), "likely")
+    first = stage(_likely(met, nodes), "likely")
     links = _verify(first, classes, docs, key, text)
     labels = components(links)
 
-    # Then all pairs across components that share enough signatures to link, however met:
-    # counted ones, and at most those that are hot or empty in both.
-    odd = nodes.filter("spare >= least").select(F.col("ref").alias("y"))
-    members = found.filter("kind = 2").groupBy(F.col("x").alias("g"), "y").agg(F.max("n").alias("hot"), F.sum("e").alias("w"))
-    members = members.filter("hot = 0").unionByName(members.filter("hot = 1").join(odd, "y", "left_semi").select("g", "y", "hot", F.lit(0).cast("long").alias("w")))
-    named = classes.groupBy("ref").agg(F.min("rep").alias("rep")).join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("ref", F.coalesce("label", "rep").alias("label"))
-    named = stage(named, "named")
-    sized = members.withColumn("ref", F.col("y").bitwiseAND(F.lit(-2))).join(named, "ref").select("g", "y", "w", "label")
-    placed = stage(sized.join(nodes.select(F.col("ref").alias("y"), "size"), "y"), "members")
-    open_ = placed.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("g")
-    left = placed.join(open_, "g", "left_semi")
-    a = left.select("g", "w", F.col("y").alias("x"), F.col("size").alias("sx"), F.col("label").alias("lx"))
-    b = left.select("g", "y", F.col("size").alias("sy"), F.col("label").alias("ly"))
-    near = a.join(b, "g").filter((F.col("lx") < F.col("ly")) & (100 * F.least("sx", "sy") >= PERCENT * F.greatest("sx", "sy")))
-    twos = met.filter("twos > 0").select("x", "y", F.col("twos").alias("w"))
-    for c, l in (("x", "lx"), ("y", "ly")):
-        twos = twos.withColumn("ref", F.col(c).bitwiseAND(F.lit(-2))).join(named.select("ref", F.col("label").alias(l)), "ref").drop("ref")
-    counted = near.select("x", "y", "w").union(twos.filter("lx <> ly").select("x", "y", "w"))
-    counted = counted.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.sum("w").alias("c"))
-    second = _possible(counted, nodes, F.col("c") + F.least("px", "py") >= F.col("least"))
-    more = _verify(second.join(first, ["x", "y"], "left_anti"), classes, docs, key, text)
+    # Then every pair across components that may still link.
+    twos = met.filter("twos > 0").select(F.xxhash64("x", "y").alias("g"), F.explode(F.array("x", "y")).alias("y"), F.col("twos").alias("w"))
+    members = found.filter("kind = 2").groupBy(F.col("x").alias("g"), "y").agg(F.sum("e").alias("w")).unionByName(twos)
+    # In a large group of near copies many links lead to the same component: single tries
+    # join most of it, while they find anything to speak of; then all pairs that are left.
+    members = stage(members, "groups")
+    known = nodes.withColumnRenamed("ref", "y").withColumn("ref", F.col("y").bitwiseAND(F.lit(-2)))
+    reps = classes.groupBy("ref").agg(F.min("rep").alias("rep"))
+
+    def remaining(labels: DataFrame) -> DataFrame:
+        named = reps.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("ref", F.coalesce("label", "rep").alias("label"))
+        return _remaining(members.join(known.join(named, "ref").drop("ref"), "y"))
+
+    prefix = remaining(labels)
+    for turn in range(TURNS):
+        tries = stage(_one_try(prefix, turn).join(first, ["x", "y"], "left_anti"), "tries")
+        new = _verify(tries, classes, docs, key, text)
+        n = new.count()
+        if n:
+            links = links.union(new)
+            labels = components(links)
+            prefix = remaining(labels)
+        if 50 * n < tries.count() or n == 0:
+            break
+    more = _verify(_across(prefix).join(first, ["x", "y"], "left_anti"), classes, docs, key, text)
     if more.limit(1).count():
         labels = components(links.union(more))
 
