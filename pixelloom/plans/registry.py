@@ -175,10 +175,10 @@ def db_to_linear(spark, sf):
     return rnd(A.table(spark, sf, "events").select("event_id", local.db_to_linear(F.col("value") / 50).alias("linear")))
 
 
-@query(f"WITH {A.GRID} SELECT x, y, {R('b1 * b4 - (b3 * b3 + b4 * b4)', 'det4')}, {R('b1 * b3 * b4', 'det3', 9)}, {R('ln(b1 + b4 + 0.001)', 'log_span')} FROM grid")
+@query(f"WITH {A.GRID} SELECT x, y, {R('b1 * b4 - (b3 * b3 + b4 * b4)', 'det4', 10)}, {R('b1 * b3 * b4', 'det3', 10)}, {R('ln(b1 + b4 + 0.001)', 'log_span')} FROM grid")
 def determinants(spark, sf):
     b1, b3, b4 = F.col("b1"), F.col("b3"), F.col("b4")
-    return rnd(A.grid(spark, sf).select("x", "y", local.determinant([b1, b3, b4, b4]).alias("det4"), (F.round(local.determinant([b1, b3, b4]), 9) + 0.0).alias("det3"), local.span([b1, b3, b4, b4], log=True).alias("log_span")), 6, ("det3",))
+    return rnd(A.grid(spark, sf).select("x", "y", (F.round(local.determinant([b1, b3, b4, b4]), 10) + 0.0).alias("det4"), (F.round(local.determinant([b1, b3, b4]), 10) + 0.0).alias("det3"), local.span([b1, b3, b4, b4], log=True).alias("log_span")), 6, ("det3", "det4"))
 
 
 @query(f"WITH {A.GRID} SELECT x, y, {R('cos(b3) * cos(0.7) + sin(b3) * sin(0.7) * cos(2.1 - b1)', 'cos_i')} FROM grid")
@@ -227,13 +227,13 @@ def radiometric_normalization(spark, sf):
 
 @query()
 def imad_two_band(spark, sf):
-    out, _ = change.imad(A.pair(spark, sf), ["a1", "a3"], ["c1", "c3"])
+    out, _ = change.imad(A.pair(spark, sf), ["a1", "a3"], ["c1", "c3"], iterations=15)
     return out.select("id", F.round("mad1", 6).alias("mad1"), F.round("mad2", 6).alias("mad2"), F.round("chi2", 6).alias("chi2"), F.round("p_nochange", 6).alias("p_nochange"), (F.col("p_nochange") <= 0.05).alias("changed"))
 
 
 @query()
 def imad_four_band(spark, sf):
-    out, _ = change.imad(A.pair(spark, sf), [f"a{i}" for i in range(1, 5)], [f"c{i}" for i in range(1, 5)])
+    out, _ = change.imad(A.pair(spark, sf), [f"a{i}" for i in range(1, 5)], [f"c{i}" for i in range(1, 5)], iterations=15)
     return out.select("id", F.round("chi2", 6).alias("chi2"), F.round("p_nochange", 6).alias("p_nochange"))
 
 
