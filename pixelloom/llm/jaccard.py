@@ -58,8 +58,10 @@ GROWTH = 2.5
 TURNS = 8
 SLICE = 16 << 20
 
+#: 64-bit words of a set's bitmap, by which pairs that cannot link are told early.
+WORDS = 16
 ENTRY = np.dtype([("sig", "<u4"), ("ref", "<u8")])
-DOC = np.dtype([("id", "<i8"), ("null", "u1"), ("d1", "<u8"), ("d2", "<u8"), ("n", "<i4"), ("e0", "<i4"), ("e1", "<i4")])
+DOC = np.dtype([("id", "<i8"), ("null", "u1"), ("d1", "<u8"), ("d2", "<u8"), ("n", "<i4"), ("e0", "<i4"), ("e1", "<i4"), ("bits", "<i8", WORDS)])
 U = np.uint64
 
 
@@ -88,6 +90,13 @@ def digest(s: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little"), int.from_bytes(d[8:], "little")
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """One bit per hash bucket that holds a shingle of the set."""
+    bits = np.zeros(64 * WORDS, np.uint8)
+    bits[(s >> U(32)) % U(64 * WORDS)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 _FROM = [5]
 
 
@@ -166,7 +175,7 @@ def _emit(docs: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
         for i, b in enumerate(bodies):
             s = shingles(b)
             d1, d2 = digest(s) if len(s) else (0, 0)
-            table[i] = (ids[i] or 0, ids[i] is None, d1, d2, len(s), 0, 0)
+            table[i] = (ids[i] or 0, ids[i] is None, d1, d2, len(s), 0, 0, bitmap(s))
             for j, later in instances(len(s)):
                 sig, e = signatures(s, j)
                 table[i]["e1" if later else "e0"] = e
@@ -207,10 +216,10 @@ def _emit(docs: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
     return rows.mapInArrow(run, "bucket int, kind byte, data binary")
 
 
-#: kind 0: a document (x key, y z digest, n size, e e2 empties).  The others name refs, with the
+#: kind 0: a document (x key, y z digest, n size, e e2 empties, bitmap).  The others name refs, with the
 #: instance in the lowest bit: 1: pair (x, y) in e groups, of two (n 0) or more (n 1); 2: group
 #: member (x group, y ref) in e groups of these same members.
-FOUND = "kind byte, x long, y long, z long, n int, e int, e2 int"
+FOUND = "kind byte, x long, y long, z long, n int, e int, e2 int, bits array<bigint>"
 
 
 def _bucket(table: pa.Table) -> pa.Table:
@@ -218,7 +227,7 @@ def _bucket(table: pa.Table) -> pa.Table:
     data = table.column("data")
     docs = np.frombuffer(b"".join(data[i].as_py() for i in np.flatnonzero(kinds == 0)), DOC)
     entry = np.frombuffer(b"".join(data[i].as_py() for i in np.flatnonzero(kinds == 1)), ENTRY)
-    out = [_rows(0, docs["id"], docs["d1"], docs["d2"], docs["n"], docs["e0"], docs["e1"], null=docs["null"] == 1)]
+    out = [_rows(0, docs["id"], docs["d1"], docs["d2"], docs["n"], docs["e0"], docs["e1"], null=docs["null"] == 1, bits=docs["bits"])]
     if len(entry):
         order = np.lexsort((entry["ref"], entry["sig"]))
         sig, ref = entry["sig"][order].astype(U), entry["ref"][order]
@@ -248,12 +257,13 @@ def _bucket(table: pa.Table) -> pa.Table:
     return pa.concat_tables(out)
 
 
-def _rows(kind, x, y=None, z=None, n=None, e=None, e2=None, null=None) -> pa.Table:
+def _rows(kind, x, y=None, z=None, n=None, e=None, e2=None, null=None, bits=None) -> pa.Table:
     m = len(x)
     long = lambda v: pa.array(np.zeros(m, np.int64) if v is None else np.ascontiguousarray(v).astype(np.uint64, copy=False).view(np.int64) if v.dtype == U else np.ascontiguousarray(v).astype(np.int64))
     small = lambda v: pa.array(np.zeros(m, np.int32) if v is None else np.ascontiguousarray(v).astype(np.int32))
     first = long(x) if null is None else pa.array(np.ascontiguousarray(x).astype(np.int64), mask=np.ascontiguousarray(null))
-    return pa.table([pa.array(np.full(m, kind, np.int8)), first, long(y), long(z), small(n), small(e), small(e2)], names=["kind", "x", "y", "z", "n", "e", "e2"])
+    lists = pa.nulls(m, pa.list_(pa.int64())) if bits is None else pa.ListArray.from_arrays(pa.array(np.arange(0, WORDS * m + 1, WORDS, dtype=np.int32)), pa.array(np.ascontiguousarray(bits).reshape(-1).astype(np.int64)))
+    return pa.table([pa.array(np.full(m, kind, np.int8)), first, long(y), long(z), small(n), small(e), small(e2), lists], names=["kind", "x", "y", "z", "n", "e", "e2", "bits"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -378,11 +388,15 @@ def _remaining(members: DataFrame) -> DataFrame:
     return out
 
 
-def _across(prefix: DataFrame) -> DataFrame:
-    """All pairs of a group across components, of one instance, with sizes that can link."""
-    a = prefix.select("g", F.col("y").alias("x"), F.col("size").alias("sx"), F.col("label").alias("lx"), F.col("inst").alias("ix"))
-    b = prefix.select("g", "y", F.col("size").alias("sy"), F.col("label").alias("ly"), F.col("inst").alias("iy"))
-    near = a.join(b, "g").filter((F.col("lx") < F.col("ly")) & (F.col("ix") == F.col("iy")) & (100 * F.least("sx", "sy") >= PERCENT * F.greatest("sx", "sy")))
+def _across(prefix: DataFrame, bits: DataFrame) -> DataFrame:
+    """All pairs of a group across components, of one instance, that can link by their sizes
+    and bitmaps: a bit that only one set has is a shingle that only it has."""
+    rows = prefix.withColumn("ref", F.col("y").bitwiseAND(F.lit(-2))).join(bits, "ref")
+    a = rows.select("g", F.col("y").alias("x"), F.col("size").alias("sx"), F.col("label").alias("lx"), F.col("inst").alias("ix"), *[F.get("bits", F.lit(i)).alias(f"a{i}") for i in range(WORDS)])
+    b = rows.select("g", "y", F.col("size").alias("sy"), F.col("label").alias("ly"), F.col("inst").alias("iy"), *[F.get("bits", F.lit(i)).alias(f"b{i}") for i in range(WORDS)])
+    only = lambda u, v: sum((F.bit_count(F.col(f"{u}{i}").bitwiseAND(F.bitwise_not(F.col(f"{v}{i}")))) for i in range(1, WORDS)), F.bit_count(F.col(f"{u}0").bitwiseAND(F.bitwise_not(F.col(f"{v}0")))))
+    shared = F.least(F.col("sx") - only("a", "b"), F.col("sy") - only("b", "a"))
+    near = a.join(b, "g").filter((F.col("lx") < F.col("ly")) & (F.col("ix") == F.col("iy")) & ((100 + PERCENT) * shared >= PERCENT * (F.col("sx") + F.col("sy"))))
     return _plain(near)
 
 
@@ -397,8 +411,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     """doc_id, n_shingles, component_id for every row."""
     buckets = max(MIN_BUCKETS, int(GROWTH * plan_bytes(docs.select(f"`{text}`")) / BUCKET_BYTES))
     found = stage(_emit(docs, key, text, buckets).groupBy("bucket").applyInArrow(_bucket, FOUND), "found")
-    rows = found.filter("kind = 0").select(F.col("x").alias("doc_id"), F.col("y").alias("d1"), F.col("z").alias("d2"), "n", F.col("e").alias("e0"), F.col("e2").alias("e1"))
-    classes = rows.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), *[F.max(c).alias(c) for c in ("n", "e0", "e1")])
+    rows = found.filter("kind = 0").select(F.col("x").alias("doc_id"), F.col("y").alias("d1"), F.col("z").alias("d2"), "n", F.col("e").alias("e0"), F.col("e2").alias("e1"), "bits")
+    classes = rows.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), *[F.max(c).alias(c) for c in ("n", "e0", "e1", "bits")])
     classes = stage(classes.withColumn("ref", F.col("d1").bitwiseAND(F.lit(-2))), "classes")
 
     nodes = _nodes(classes)
@@ -432,7 +446,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
             prefix = remaining(labels)
         if 50 * n < tries.count() or n == 0:
             break
-    more = _verify(_across(prefix).join(first, ["x", "y"], "left_anti"), classes, docs, key, text)
+    more = _verify(_across(prefix, classes.groupBy("ref").agg(F.max("bits").alias("bits"))).join(first, ["x", "y"], "left_anti"), classes, docs, key, text)
     if more.limit(1).count():
         labels = components(links.union(more))
 
