@@ -409,7 +409,10 @@ def _one_try(prefix: DataFrame, turn: int) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
-    buckets = max(MIN_BUCKETS, int(GROWTH * plan_bytes(docs.select(f"`{text}`")) / BUCKET_BYTES))
+    size = plan_bytes(docs.select(f"`{text}`"))
+    if size > 1 << 53:  # the optimizer does not know
+        size = (docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0) // 2
+    buckets = max(MIN_BUCKETS, int(GROWTH * size / BUCKET_BYTES))
     found = stage(_emit(docs, key, text, buckets).groupBy("bucket").applyInArrow(_bucket, FOUND), "found")
     rows = found.filter("kind = 0").select(F.col("x").alias("doc_id"), F.col("y").alias("d1"), F.col("z").alias("d2"), "n", F.col("e").alias("e0"), F.col("e2").alias("e1"), "bits")
     classes = rows.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), *[F.max(c).alias(c) for c in ("n", "e0", "e1", "bits")])
