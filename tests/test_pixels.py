@@ -81,7 +81,8 @@ def test_imad_finds_planted_block(spark):
     df = spark.createDataFrame([(i, *map(float, a[i]), *map(float, c[i])) for i in range(2000)], "id int, a1 double, a2 double, c1 double, c2 double")
     out, rho = change.imad(df, ["a1", "a2"], ["c1", "c2"], iterations=8)
     r = out.select(F.avg(F.when(F.col("id") < 200, F.col("p_nochange"))).alias("x"), F.avg(F.when(F.col("id") >= 200, F.col("p_nochange"))).alias("y")).first()
-    assert r["x"] < 0.05 < 0.3 < r["y"] and rho[0] > 0.95
+    # Reweighting narrows the variance, so no-change pixels do not keep a mean of one half.
+    assert r["x"] < 0.02 < 0.15 < r["y"] and rho[0] > 0.95
 
 
 def test_pca_trace_and_weighted_moments(spark):
