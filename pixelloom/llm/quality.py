@@ -72,6 +72,11 @@ class Rule:
     rejects: Callable[[Column], Column]
 
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with ``value`` evaluated once, and only where the branch is reached."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _n(words: Column) -> Column:
     return F.size(words).cast("long")
 
@@ -79,7 +84,7 @@ def _n(words: Column) -> Column:
 #: Each rule sees a struct with ``text`` and ``words``.
 RULES = (
     Rule("few_words", lambda d: _n(d["words"]) < 10),
-    Rule("repeats", lambda d: 100 * n_repeat_words(window_hashes(d["words"])) > 20 * _n(d["words"])),
+    Rule("repeats", lambda d: 100 * _once(window_hashes(d["words"]), n_repeat_words) > 20 * _n(d["words"])),
     Rule("word_length", lambda d: ~word_chars(d["words"]).between(2 * _n(d["words"]), 15 * _n(d["words"]))),
     Rule("symbols", lambda d: 10 * n_symbols(d["text"]) > _n(d["words"])),
     Rule("dup_lines", lambda d: 10 * n_dup_lines(d["text"]) > 3 * F.size(F.split(d["text"], "\n", -1))),
@@ -121,8 +126,11 @@ def filter_quality(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...]
     """The rows that no rule rejects, with their own columns."""
     order = ordered(docs, text, rules)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_or_empty(F.col(f"`{text}`")).alias("text"))
-    judged = packed.withColumn("words", words_of(F.col("text"))).filter(cascade(order, F.struct("text", "words")).isNull())
-    return judged.select("row.*")
+    # The optimizer moves a filter below the projection that its columns come from, which
+    # would split the text anew for every window of words; it does not move one that reads
+    # the output of a generator.
+    split = packed.select("row", "text", F.explode(F.array(words_of(F.col("text")))).alias("words"))
+    return split.filter(cascade(order, F.struct("text", "words")).isNull()).select("row.*")
 
 
 def quality_table(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
