@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
+from pixelloom.llm.common import WS  # noqa: E402
 from pixelloom.llm import hnsw, jaccard, line_dedup, mixing, pieces, pii, quality, queries, secret_scan, token_files, url_filter  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -70,6 +71,17 @@ def test_odd_and_empty_tables_run(spark, odd, empty):
         assert f(odd).columns == odd.columns and f(empty).count() == 0
 
 
+def test_quality_filter_in_any_order(spark, odd, monkeypatch):
+    kept = sorted(str(r["doc_id"]) for r in quality.quality_table(odd).filter("kept").collect())
+    for turn in range(0, len(quality.RULES), 2):
+        monkeypatch.setattr(quality, "ordered", lambda *a, turn=turn: list(quality.RULES[turn:] + quality.RULES[:turn]))
+        df = quality.filter_quality(odd)
+        assert sorted(str(r["doc_id"]) for r in df.collect()) == kept
+        # Texts are split into words once, below the filter.
+        above, below = df._jdf.queryExecution().optimizedPlan().toString().split("Generate explode", 1)
+        assert WS not in above and WS in below
+
+
 def luhn(s):
     t = 0
     for i, c in enumerate(reversed(s)):
