@@ -128,3 +128,20 @@ def inverse_affine(x: Column, y: Column, gt: tuple[float, ...]) -> tuple[Column,
 
 def percentiles(df: DataFrame, band: str, at: tuple[float, ...] = (0.02, 0.98)) -> DataFrame:
     return df.agg(*[F.percentile(band, F.lit(p)).alias(f"p{round(100 * p)}") for p in at])
+
+
+def affine(x: Column, y: Column, gt: tuple[float, ...]) -> tuple[Column, Column]:
+    """Map coordinates of a pixel, by the six numbers (x0, xx, xy, y0, yx, yy)."""
+    return gt[0] + x * gt[1] + y * gt[2], gt[3] + x * gt[4] + y * gt[5]
+
+
+def affine_inverse(px: Column, py: Column, gt: tuple[float, ...]) -> tuple[Column, Column]:
+    """The pixel of map coordinates, for rotated grids as well."""
+    det = gt[1] * gt[5] - gt[2] * gt[4]
+    dx, dy = px - gt[0], py - gt[3]
+    return (dx * gt[5] - dy * gt[2]) / det, (dy * gt[1] - dx * gt[4]) / det
+
+
+def log_span(*diagonal: Column) -> Column:
+    """Logarithm of the trace of a polarimetric matrix."""
+    return F.log(sum(diagonal[1:], diagonal[0]) + 0.001)

@@ -107,3 +107,14 @@ def separability(df: DataFrame, bands: list[str], by: str) -> list[tuple[str, st
                 bh = d @ np.linalg.solve(s, d) / 8 + 0.5 * np.log(np.linalg.det(s) / np.sqrt(np.linalg.det(s1) * np.linalg.det(s2)))
                 out.append((a, b, float(2 * (1 - np.exp(-bh)))))
     return out
+
+
+def jeffries_matusita(df: DataFrame, band: str, cls: str) -> DataFrame:
+    """Separability of each two classes in one band.  Only the classes' moments, one row a
+    class, meet one another."""
+    m = df.groupBy(cls).agg(F.avg(band).alias("m"), F.var_samp(band).alias("v"))
+    a, b = (m.select(F.col(cls).alias(f"c{i}"), F.col("m").alias(f"m{i}"), F.col("v").alias(f"v{i}")) for i in (1, 2))
+    v = F.col("v1") + F.col("v2")
+    dist = (F.col("m1") - F.col("m2")) ** 2 / (4 * v) + 0.5 * F.log(v / (2 * F.sqrt(F.col("v1") * F.col("v2"))))
+    rows = a.join(b, F.col("c1") < F.col("c2")).select("c1", "c2", dist.alias("bhattacharyya"))
+    return rows.withColumn("jm", 2 * (1 - F.exp(-F.col("bhattacharyya"))))

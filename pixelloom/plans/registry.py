@@ -496,3 +496,34 @@ def canberra_stability(spark, sf):
 def scene_pick(spark, sf):
     o = A.table(spark, sf, "orders").filter((F.col("o_orderdate") >= F.lit("1996-01-01").cast("timestamp_ntz")) & (F.col("o_orderdate") < F.lit("1997-01-01").cast("timestamp_ntz")) & (F.col("o_orderpriority") == "1-URGENT"))
     return o.orderBy("o_totalprice", "o_orderkey").limit(5).select("o_orderkey", "o_orderdate", F.round("o_totalprice", 2).alias("o_totalprice"))
+
+
+# ------------------------------------------------------------- composites, coordinates, separability
+
+
+@query(f"WITH {A.SERIES} SELECT pix, {R('avg(v)', 'mean_v')}, {R('max(v)', 'max_v')} FROM series GROUP BY pix")
+def temporal_composite(spark, sf):
+    return rnd(A.series(spark, sf).groupBy("pix").agg(F.avg("v").alias("mean_v"), F.max("v").alias("max_v")))
+
+
+@query(f"WITH {A.GRID} SELECT x, y, {R('500000 + 28.5 * x::DOUBLE + 1.5 * y::DOUBLE', 'px')}, {R('5600000 + 1.5 * x::DOUBLE - 28.5 * y::DOUBLE', 'py')}, {R('x::DOUBLE', 'back_x')}, {R('y::DOUBLE', 'back_y')} FROM grid")
+def map_coordinates(spark, sf):
+    gt = (500000.0, 28.5, 1.5, 5600000.0, 1.5, -28.5)
+    rows = A.grid(spark, sf).select("x", "y")
+    px, py = local.affine(F.col("x"), F.col("y"), gt)
+    rows = rows.withColumn("px", px).withColumn("py", py)
+    bx, by = local.affine_inverse(F.col("px"), F.col("py"), gt)
+    return rnd(rows.withColumn("back_x", bx).withColumn("back_y", by))
+
+
+@query(f"WITH {A.GRID} SELECT x, y, {R('ln(b1 + b3 + b4 + 0.001)', 'span')} FROM grid")
+def log_span(spark, sf):
+    return rnd(A.grid(spark, sf).select("x", "y", local.log_span(F.col("b1"), F.col("b3"), F.col("b4")).alias("span")))
+
+
+@query(
+    f"WITH {A.PIXELS}, m AS (SELECT cls, avg(b1) AS m, var_samp(b1) AS v FROM pixels GROUP BY cls), d AS (SELECT a.cls AS c1, b.cls AS c2, (a.m - b.m) * (a.m - b.m) / (4 * (a.v + b.v)) + 0.5 * ln((a.v + b.v) / (2 * sqrt(a.v * b.v))) AS dist FROM m a JOIN m b ON a.cls < b.cls) "
+    f"SELECT c1, c2, {R('dist', 'bhattacharyya')}, {R('2 * (1 - exp(-dist))', 'jm')} FROM d"
+)
+def jeffries_matusita(spark, sf):
+    return rnd(moments.jeffries_matusita(A.pixels(spark, sf), "b1", "cls"))
