@@ -8,7 +8,8 @@ far fewer.  The operator therefore
    hexadecimal digits), and
 2. takes every maximal run of ``[A-Za-z0-9+/_-]`` of ``min_run`` characters or
    more, sets aside known digests (hexadecimal of a usual digest length, UUIDs),
-   plain numbers and identifiers (runs made of words), and reports as kind
+   plain numbers and identifiers (runs made of parts that are themselves
+   token-efficient), and reports as kind
    ``random`` those with fewer than ``max_chars_per_token`` characters a token,
    unless a base span holds them already.
 
@@ -49,6 +50,8 @@ DIGEST = re.compile(rb"(?:[0-9a-f]+|[0-9A-F]+)\Z")
 DIGEST_SIZES = frozenset((32, 40, 48, 56, 64, 96, 128))
 UUID = re.compile(rb"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}\Z")
 PART = re.compile(rb"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
+#: From so many characters a token, a part of a run is a word; random letters take 1.3 to 1.8.
+WORD_CHARS_PER_TOKEN = 2.5
 
 SLICE = 4 << 20
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string"
@@ -67,16 +70,23 @@ def encoding(vocabulary: str = VOCABULARY):
 
 
 def is_known(run: bytes) -> bool:
-    """A digest, UUID, plain number or identifier, which is not a secret."""
+    """A digest, UUID or plain number, which is not a secret."""
     if UUID.match(run) or run.isdigit() or (len(run) in DIGEST_SIZES and DIGEST.match(run)):
         return True
-    parts = PART.findall(run)
+    return not any(p.isalpha() for p in PART.findall(run))
+
+
+def is_identifier(run: bytes, vocabulary: str = VOCABULARY) -> bool:
+    """Made of words: most of its letters are in parts that the vocabulary knows in large
+    pieces, in their own case or in lower case.  Length of a part tells nothing, as a
+    random key of one letter case is a single part."""
+    parts = [p.decode() for p in PART.findall(run)]
     letters = [p for p in parts if not p.isdigit()]
-    digits = sum(len(p) for p in parts if p.isdigit())
-    if not letters:
-        return True
-    mean = sum(map(len, letters)) / len(letters)
-    return mean >= 3.5 and digits <= 0.25 * len(run)
+    if sum(map(len, parts)) - sum(map(len, letters)) > 0.25 * len(run):
+        return False
+    encode = encoding(vocabulary).encode_ordinary
+    words = [p for p in letters if len(p) >= 3 and len(p) >= WORD_CHARS_PER_TOKEN * min(len(encode(p)), len(encode(p.lower())))]
+    return sum(map(len, words)) >= 0.75 * sum(map(len, letters))
 
 
 def _assignments(b: bytes) -> list[tuple[int, int]]:
@@ -122,7 +132,7 @@ def scan(b: bytes, runs: list[tuple[int, int]], max_chars_per_token: float, voca
         run = b[s:e]
         if not is_known(run) and not any(p <= s and e <= q for p, _, q in base):
             n = len(encoding(vocabulary).encode_ordinary(run.decode("ascii")))
-            if e - s < max_chars_per_token * n:
+            if e - s < max_chars_per_token * n and not is_identifier(run, vocabulary):
                 found.append((s, 3, e))
     return sorted(found)
 

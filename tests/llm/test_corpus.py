@@ -130,6 +130,17 @@ def test_random_strings_are_found_and_identifiers_are_not():
     assert f(b"some_long_variable_name and CamelCaseIdentifierName 123e4567-e89b-12d3-a456-426614174000") == []
 
 
+@pytest.mark.parametrize("alphabet, share", [("abcdefghijklmnopqrstuvwxyz", 0.65), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 0.85), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0.95), ("abcdefghijklmnopqrstuvwxyz0123456789", 0.9)])
+def test_random_keys_of_one_letter_case_are_found(alphabet, share):
+    f = lambda t: [x[1] for x in secret_scan.scan(t, secret_scan._runs([t], 16)[0], 1.8, secret_scan.VOCABULARY)]
+    rng = np.random.default_rng(5)
+    for n in (16, 20, 24, 32, 40):
+        keys = ["".join(rng.choice(list(alphabet), n)).encode() for _ in range(200)]
+        assert sum(bool(f(b"see " + k + b" here")) for k in keys) >= share * len(keys), n
+    assert f(b"JBSWY3DPEHPK3PXP") == [3]
+    assert f(b"MAXIMUM_CHARS_PER_TOKEN getElementsByTagNameAndClassName usr/share/lib/python3/packages configuration_value_2") == []
+
+
 def test_tokens(spark, odd):
     enc = secret_scan.encoding(token_files.VOCABULARY)
     want = sorted((repr(r["doc_id"]), len(enc.encode_ordinary(r["text"] or ""))) for r in odd.collect())
