@@ -12,11 +12,13 @@ from the lengths of the matches and of the pieces between them (``split`` by the
 pattern), all in code points.  The patterns are written with possessive quantifiers
 and anchors so that they take linear time on any text and no recursion in Java.
 
-The trees are fitted on the driver on at most ``max_labelled`` candidates.  There are no
-hand-labelled spans; a candidate counts as positive if the fixed validators accept it
-(octets, Luhn, digit counts, address form) and as negative otherwise, and the features
-leave the validators out: they describe lengths, separators, neighbours and context
-words.  The pass itself is narrow: nothing is shuffled, and memory is bounded by the
+The trees are fitted on the driver on at most ``max_labelled`` candidates of the table and
+a fixed set of synthetic ones.  There are no hand-labelled spans.  A candidate of the base
+patterns counts as positive if the fixed validators accept it (octets, Luhn, digit counts,
+address form) and as negative otherwise; loose forms outside base spans, on which the
+trees decide, are labelled by the synthetic texts alone (``synthetic``), and the threshold
+is calibrated on those.  The features leave the validators out: they describe lengths,
+separators, neighbours and context words.  The pass itself is narrow: nothing is shuffled, and memory is bounded by the
 longest text.
 
 Defined results: a null text counts as empty; repeated rows give repeated results; a
@@ -26,6 +28,8 @@ result.
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +49,8 @@ CONTEXT = 24
 CONTEXT_WORDS = r"(?i)\b(?:tel|phone|call|fax|mobile|contact|mail|e-mail|email|address|ssn|account|iban|card|id|reach|write|dial|whatsapp|telefon|correo|courriel)\b"
 MAX_LABELLED = 20_000
 PRECISION = 0.995
+#: Synthetic loose candidates, trees and their depth.
+SYNTHETIC, TREES, DEPTH = 2400, 16, 3
 
 
 def matches(text: Column, pattern: str, wanted: str | None = None) -> Column:
@@ -62,7 +68,7 @@ def matches(text: Column, pattern: str, wanted: str | None = None) -> Column:
     pairs = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
     spans = F.aggregate(pairs, zero, step, lambda a: a["out"])
     empty = F.array().cast("array<struct<s:int,e:int,m:string>>")
-    some = F.contains(text, F.lit(wanted)) if wanted else text.rlike("[0-9]")
+    some = F.contains(text, F.lit(wanted)) if wanted else text.rlike(r"[0-9]|[\[(]\x20?at\x20?[\])]" if pattern == LOOSE else "[0-9]")
     return F.when(some, spans).otherwise(empty)
 
 
@@ -107,10 +113,50 @@ def candidate_features(text: Column, x: Column) -> list[Column]:
     ]
 
 
+def synthetic(n: int = SYNTHETIC, seed: int = 7) -> tuple[list[str], list[int]]:
+    """Short texts with one loose candidate each, and whether it is personal: spelled-out
+    addresses, phone numbers without '+' and account numbers against dates, versions,
+    prices, ranges and rows of figures, with and without context words on both sides."""
+    r = random.Random(seed)
+    d = lambda k: str(r.randint(1, 9)) + "".join(str(r.randint(0, 9)) for _ in range(k - 1))
+    name = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 9)))
+    filler = lambda: " ".join(name() for _ in range(r.randint(2, 5)))
+    day, month, year = lambda: f"{r.randint(10, 28)}", lambda: f"{r.randint(1, 12):02d}", lambda: str(r.randint(1900, 2030))
+    at, dot = lambda: r.choice((" (at) ", "(at)", " [at] ", "[at]")), lambda: r.choice((" (dot) ", "(dot)", " [dot] ", "[dot]", "."))
+    who = lambda: r.choice((name(), f"{name()}.{name()}", f"{name()}{d(2)}"))
+    said = ("tel", "phone", "call", "fax", "mobile", "contact", "dial", "whatsapp", "reach me")
+    owned = ("account", "iban", "card", "id", "ssn")
+    address = (lambda: f"{who()}{at()}{name()}{dot()}{r.choice(('com', 'org', 'net', 'de', 'fr'))}",)
+    phone = (
+        lambda: f"({d(3)}) {d(3)}-{d(4)}", lambda: f"{d(3)}-{d(3)}-{d(4)}", lambda: f"{d(3)}.{d(3)}.{d(4)}", lambda: f"({d(3)}) {d(3)} {d(4)}",
+    )
+    dialled = (*phone, lambda: f"{d(3)} {d(3)} {d(4)}", lambda: f"0{d(2)} {d(4)} {d(4)}", lambda: f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", lambda: f"0{d(3)}/{d(6)}")
+    account = (lambda: f"{d(4)} {d(4)} {d(4)}", lambda: f"{d(4)}-{d(4)}-{d(4)}", lambda: f"{d(3)}-{d(2)}-{d(4)}", lambda: f"{d(2)} {d(4)} {d(4)}")
+    other = (
+        lambda: f"{year()}-{month()}-{day()}", lambda: f"{day()}.{month()}.{year()}", lambda: f"{day()}/{month()}/{year()}", lambda: f"{day()}/{month()}/{d(2)}", lambda: f"{year()}-{year()}",
+        lambda: f"{d(3)}-{d(3)}", lambda: f"{d(2)}.{d(2)}", lambda: f"{d(2)}.{d(2)}.{d(2)}", lambda: f"{d(2)} {d(2)} {d(2)} {d(2)}", lambda: f"{d(2)} 000 000", lambda: f"{d(3)} 000",
+    )
+    # Years in a row look like an account number, but for the context.
+    years = (lambda: f"{year()} {year()} {year()}",)
+    groups = (
+        (1, address, ("",)), (1, address, ("mail", "email", "contact", "write")), (1, phone, ("",)), (1, dialled, said), (1, account, owned),
+        (0, (*other, *years), ("",)), (0, (*other, *years), ("version", "page", "no", "vol", "$")), (0, other, (*said, *owned)),
+    )
+    texts, labels = [], []
+    for i in range(n):
+        y, forms, words = groups[i % len(groups)]
+        word = r.choice(words)
+        before = r.choice(("", filler() + " ")) if not word else f"{filler()} {word}{r.choice((' ', ': ', ' is '))}"
+        texts.append(f"{before}{r.choice(forms)()}{r.choice(('', ' ' + filler(), ', ' + filler(), '.'))}")
+        labels.append(y)
+    return texts, labels
+
 
 def fit(docs: DataFrame, text: str = "text", max_labelled: int = MAX_LABELLED, precision: float = PRECISION) -> tuple[GBT, float]:
-    """Trees and threshold from at most ``max_labelled`` candidates of the base patterns
-    and the looser one, the ones with the least hashes among the first 4 x that many."""
+    """Trees and threshold from the synthetic loose candidates and at most ``max_labelled``
+    candidates of the base patterns and the looser one, the ones with the least hashes
+    among the first 4 x that many.  A candidate of the table that overlaps no base span
+    but has a loose form has no label there, so it is not trained on."""
     t = text_or_empty(F.col(f"`{text}`"))
     labelled = []
     valid = base_spans(F.col("t"))
@@ -123,16 +169,27 @@ def fit(docs: DataFrame, text: str = "text", max_labelled: int = MAX_LABELLED, p
         labelled.append(label(matches(F.col("t"), pattern, wanted), valid[kind]))
     labelled.append(label(matches(F.col("t"), LOOSE), F.concat(*valid.values())))
     rows = docs.select(t.alias("t")).filter(F.col("t").rlike("[0-9@]"))
-    rows = rows.select("t", F.explode(F.concat(*labelled)).alias("c")).limit(4 * max_labelled)
-    x = candidate_features(F.col("t"), F.col("c"))
-    rows = rows.select(F.array(*[f.cast("double") for f in x]).alias("x"), F.col("c.y").alias("y"), F.xxhash64("c.m", "c.s").alias("h"))
+    rows = rows.select("t", matches(F.col("t"), LOOSE).alias("loose"), F.concat(*labelled).alias("all"))
+    free = lambda c: F.exists("loose", lambda v: (v["s"] < c["e"]) & (c["s"] < v["e"]))
+    rows = rows.select("t", F.explode(F.filter("all", lambda c: (c["y"] == 1) | ~free(c))).alias("c")).limit(4 * max_labelled)
+    rows = rows.select(_features(F.col("c")), F.col("c.y").alias("y"), F.xxhash64("c.m", "c.s").alias("h"))
     rows = rows.orderBy("h").limit(max_labelled).collect()
-    if not rows:
-        return GBT(), float("inf")
-    xs, y = np.array([r["x"] for r in rows], float), np.array([r["y"] for r in rows], float)
-    train = halves(np.arange(len(rows)))
-    gbt = GBT(trees=16, depth=3).fit(xs[train], y[train])
-    return gbt, calibrated_threshold(gbt.margin(xs[~train]), y[~train], precision)
+
+    texts, labels = synthetic()
+    made = docs.sparkSession.range(1).select(F.posexplode(F.split(F.lit("\n".join(texts)), "\n")).alias("i", "t"))
+    made = made.select("i", "t", F.explode(matches(F.col("t"), LOOSE)).alias("c")).select("i", _features(F.col("c"))).orderBy("i").collect()
+
+    xs = np.array([r["x"] for r in [*rows, *made]], float)
+    y = np.array([r["y"] for r in rows] + [labels[r["i"]] for r in made], float)
+    train = halves(np.concatenate([np.arange(len(rows)), [r["i"] for r in made]]))
+    gbt = GBT(trees=TREES, depth=DEPTH).fit(xs[train], y[train])
+    # The model decides on loose candidates only, so the threshold is theirs.
+    held = ~train & (np.arange(len(y)) >= len(rows))
+    return gbt, calibrated_threshold(gbt.margin(xs[held]), y[held], precision)
+
+
+def _features(c: Column) -> Column:
+    return F.array(*[f.cast("double") for f in candidate_features(F.col("t"), c)]).alias("x")
 
 
 def personal_data(docs: DataFrame, model: tuple[GBT, float], key: str = "doc_id", text: str = "text") -> DataFrame:

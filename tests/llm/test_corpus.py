@@ -101,6 +101,17 @@ def base_pii(t):
     return out
 
 
+def test_loose_personal_data_is_selected(spark, docs):
+    personal = ["please write to jane.roe (at) example (dot) org today", "mail me: tom [at] site [dot] com", "call me on (212) 555-0187 after six", "my number is 212-555-0187, thanks", "phone 020 7946 0958", "bank account 1234 5678 9012 of mine"]
+    other = ["it was 2024-05-17 that day", "on 17.05.2024 we met", "version 10.12.14 is out", "in 1998-2004 they grew", "rows 10 20 30 40 of it", "we paid $ 12.50 each", "call before 2024-05-17"]
+    df = spark.createDataFrame(list(enumerate(personal + other)), "doc_id long, text string")
+    for d in (docs, df):
+        got = {r["doc_id"]: r for r in pii.personal_data(df, pii.fit(d)).collect()}
+        assert [got[i]["n_other"] for i in range(len(got))] == [1] * len(personal) + [0] * len(other)
+    s, e = map(int, got[3]["spans"].removeprefix("other:").split(":"))
+    assert personal[3][s:e] == "212-555-0187"
+
+
 def base_secrets(t):
     out = []
     for m in re.finditer(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t):
