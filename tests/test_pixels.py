@@ -85,6 +85,27 @@ def test_imad_finds_planted_block(spark):
     assert r["x"] < 0.02 < 0.15 < r["y"] and rho[0] > 0.95
 
 
+@pytest.mark.parametrize("name, first, second", [("imad_two_band", ["a1", "a3"], ["c1", "c3"])])  # four bands collapse on 200 pixels
+def test_imad_runs_to_convergence(spark, name, first, second):
+    got = {r["id"]: r["chi2"] for r in registry.QUERIES[name](spark, SF).collect()}
+    data = registry.A.pair(spark, SF).select("id", *first, *second).collect()
+    x, n = np.array([r[1:] for r in data], float), len(first)
+    w, old = np.ones(len(x)), np.zeros(n)
+    for _ in range(50):
+        m = (w[:, None] * x).sum(0) / w.sum()
+        s = ((x - m).T * w) @ (x - m) / (w.sum() - 1)
+        l1, l2 = np.linalg.inv(np.linalg.cholesky(s[:n, :n])), np.linalg.inv(np.linalg.cholesky(s[n:, n:]))
+        u, rho, vt = np.linalg.svd(l1 @ s[:n, n:] @ l2.T)
+        d = (x[:, :n] - m[:n]) @ l1.T @ u - (x[:, n:] - m[n:]) @ l2.T @ vt.T
+        chi2 = (d * d / (2 * (1 - rho))).sum(1)
+        w = np.exp(-chi2 / 2) * (1 if n == 2 else 1 + chi2 / 2)
+        if np.max(np.abs(rho - old)) <= 1e-3:
+            break
+        old = rho
+    assert len(got) == len(x)
+    assert np.allclose([got[r["id"]] for r in data], chi2, rtol=1e-3, atol=1e-3)
+
+
 def test_pca_trace_and_weighted_moments(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(500, 3)) + 100
