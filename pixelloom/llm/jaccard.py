@@ -8,19 +8,22 @@ neighbouring ones, so a set takes part in its own band's instance and, if it is
 enough, in the next one's.  Within an instance with largest size ``u`` two sets that link
 differ in at most ``k = 2u/9`` shingles.
 
-*Signatures.*  An instance partitions the domain of shingles (by hash) into ``n > k``
-parts; ``k`` differences leave at least ``n - k`` parts equal.  For small ``k`` the
-signatures are all subsets of two out of ``k + 4`` parts; for larger ``k`` subsets of one
-out of ``5/4 (k + 1)`` parts, which needs fewer signatures.  So two sets that link share at
-least ``least_shared(k)`` signatures.  Empty parts are not emitted unless a set has that
-many of them.
+*Signatures.*  An instance partitions the domain of shingles (by hash) on two levels:
+into blocks, and each block into parts.  The signatures are the subsets of two parts of a
+block, so none stands for a single part.  Up to ``k = 3`` there is one block of ``k + 4``
+parts; beyond, about ``3/5 (k + 1)`` blocks of three parts.  Two sets that link share at
+least ``scheme(j).least`` signatures, wherever their differences fall.  Empty subsets are
+not emitted unless a set has that many of them.
 
 *Buckets.*  Signatures travel as packed arrays of 12-byte entries, one row per bucket and
 Arrow batch.  In a bucket, each group of equal signatures gives a star of candidate pairs
-(its least member with every other) with counts, never all pairs.  Pairs that meet in half of
-the signatures they would have to share are verified first; they give most components.  What
-may still link across components is found by ``_remaining``: exactly, and without pairs in
-large groups (a passage that many documents share) unless sets have little else.
+(its least member with every other) with counts, never all pairs.  A signature that many
+sets of one batch share (a passage, a licence) is split before it travels: its least member
+stands for the batch in the bucket, the others go to buckets by their own hash.  Pairs that
+meet in half of the signatures they would have to share are verified first; they give most
+components.  What may still link across components is found by ``_remaining``: exactly, and
+without pairs in large groups (a passage that many documents share) unless sets have little
+else.
 
 Equal sets form one class before any of this, whose least key represents it.  Nothing is
 collected to the driver; components are found by rounds of label minima and pointer
@@ -40,6 +43,7 @@ from collections import OrderedDict
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -61,6 +65,13 @@ SLICE = 16 << 20
 #: 64-bit words of a set's bitmap, by which pairs that cannot link are told early.
 WORDS = 16
 ENTRY = np.dtype([("sig", "<u4"), ("ref", "<u8")])
+#: From so many sets of a batch on, a signature's members travel apart.
+CROWD = 64
+MEMBER = np.dtype([("group", "<u8"), ("head", "<u8"), ("ref", "<u8")])
+#: A set's groups are compared in runs of about so many when pairs are found once only.
+RUN = 64
+#: Shingles that a verifying task keeps at most, beside the pair at hand.
+HELD = 8 << 20
 DOC = np.dtype([("id", "<i8"), ("null", "u1"), ("d1", "<u8"), ("d2", "<u8"), ("n", "<i4"), ("e0", "<i4"), ("e1", "<i4"), ("bits", "<i8", WORDS)])
 U = np.uint64
 
@@ -120,45 +131,49 @@ def instances(size: int) -> list[tuple[int, int]]:
     return out
 
 
-@lru_cache(maxsize=4096)
-def scheme(j: int) -> tuple[int, int, int]:
-    """(parts, subset size, least shared signatures) of an instance."""
-    k = 2 * band(j)[1] * (100 - PERCENT) // (100 + PERCENT)
-    if k <= 3:
-        return k + 4, 2, 6
-    n = max(k + 8, -(-5 * (k + 1) // 4))
-    return n, 1, n - k
+class Scheme(NamedTuple):
+    blocks: int
+    parts: int  # of each block
+    least: int  # signatures that two sets that link share, or more
+    count: int  # signatures in all
 
 
 @lru_cache(maxsize=4096)
-def _tags(j: int) -> np.ndarray:
-    n, subset, _ = scheme(j)
-    count = n if subset == 1 else n * (n - 1) // 2
-    return mix(np.arange(1, count + 1, dtype=U) + U(j << 40))
+def scheme(j: int) -> Scheme:
+    """How instance ``j`` partitions the domain.
+
+    A block of three parts has three subsets of two; one difference in it spoils two of
+    them, a second one in another part the third.  So ``k`` differences leave fewest when
+    they first fall into one block each: ``3 b - 2 k`` of ``b`` blocks, or ``2 b - k`` if
+    ``k > b``."""
+    k = 2 * band(j)[1] * (100 - PERCENT) // (100 + PERCENT)
+    if k <= 3:
+        return Scheme(1, k + 4, 6, (k + 4) * (k + 3) // 2)
+    b = max(-(-(k + 6) // 2), -(-3 * (k + 1) // 5))
+    return Scheme(b, 3, 3 * b - 2 * k if k <= b else 2 * b - k, 3 * b)
 
 
-@lru_cache(maxsize=64)
-def _pairs(n: int) -> tuple[np.ndarray, np.ndarray]:
-    a = np.array(list(combinations(range(n), 2)))
-    return a[:, 0], a[:, 1]
+@lru_cache(maxsize=256)
+def _subsets(j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The two parts of each signature, and what tells signatures and instances apart."""
+    blocks, parts, _, count = scheme(j)
+    two = np.array(list(combinations(range(parts), 2)))
+    at = (np.arange(blocks)[:, None, None] * parts + two).reshape(-1, 2)
+    return at[:, 0], at[:, 1], mix(np.arange(1, count + 1, dtype=U) + U(j << 40))
 
 
 def signatures(s: np.ndarray, j: int) -> tuple[np.ndarray, int]:
     """The signatures of set ``s`` in instance ``j`` and the number of empty ones."""
-    n, subset, least = scheme(j)
-    part = (s % U(n)).astype(np.int32)
+    blocks, parts, least, _ = scheme(j)
+    part = (s % U(blocks * parts)).astype(np.int32)
     order = np.argsort(part, kind="stable")
-    count = np.bincount(part, minlength=n)
+    count = np.bincount(part, minlength=blocks * parts)
     run = np.concatenate((np.zeros(1, U), np.cumsum(mix(s + U(j))[order], dtype=U)))
     stop = np.cumsum(count)
     value = run[stop] - run[stop - count]
-    if subset == 2:
-        a, b = _pairs(n)
-        empty = (count[a] == 0) & (count[b] == 0)
-        value = value[a] * U(0x9E3779B97F4A7C15) + mix(value[b])
-    else:
-        empty = count == 0
-    sig = mix(value + _tags(j))
+    a, b, tags = _subsets(j)
+    empty = (count[a] == 0) & (count[b] == 0)
+    sig = mix(value[a] * U(0x9E3779B97F4A7C15) + mix(value[b]) + tags)
     e = int(empty.sum())
     return (sig if e >= least else sig[~empty]), e
 
@@ -166,8 +181,36 @@ def signatures(s: np.ndarray, j: int) -> tuple[np.ndarray, int]:
 # ---------------------------------------------------------------- passes
 
 
+def group_of(sig: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """The name of a crowded group, from what a bucket knows of its signature."""
+    return mix((sig << U(32)) + bucket.astype(U) + U(1))
+
+
+def split_crowds(sig: np.ndarray, ref: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures and refs without all but the least member (marked by bit 1) of each
+    signature that CROWD or more sets of the batch share; and these other members."""
+    slot = ((sig >> U(8)) & U(0xFFFFF)).astype(np.int32)
+    maybe = np.flatnonzero(np.bincount(slot, minlength=1 << 20)[slot] >= CROWD)
+    order = maybe[np.lexsort((ref[maybe], sig[maybe]))]
+    own = sig[order]
+    start = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, int)
+    size = np.diff(np.append(start, len(own)))
+    crowd = np.repeat(size >= CROWD, size)
+    head = np.repeat(start, size)
+    marked = order[start[size >= CROWD]]
+    gone = crowd & (head != np.arange(len(own)))
+    apart = np.empty(int(gone.sum()), MEMBER)
+    apart["group"] = group_of(own[gone] >> U(32), own[gone] % U(buckets))
+    apart["head"], apart["ref"] = ref[order][head[gone]], ref[order][gone]
+    ref[marked] |= U(2)
+    stay = np.ones(len(sig), bool)
+    stay[order[gone]] = False
+    return sig[stay], ref[stay], apart
+
+
 def _emit(docs: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
-    """Rows (bucket, kind, data): packed documents (kind 0) and signatures (kind 1)."""
+    """Rows (bucket, kind, data): packed documents (kind 0), signatures (kind 1) and members
+    of crowded groups (kind 3)."""
 
     def flush(ids, bodies) -> pa.RecordBatch:
         table = np.zeros(len(bodies), DOC)
@@ -182,17 +225,20 @@ def _emit(docs: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
                 if (d1, later) not in known:  # equal sets of a batch count once
                     known.add((d1, later))
                     sigs.append(sig)
-                    refs.append(np.full(len(sig), U(d1 & ~1 | later)))
+                    refs.append(np.full(len(sig), U(d1 & ~3 | later)))
         rows: list[tuple[int, int, bytes]] = []
         of = (mix(table["id"].astype(U) + np.arange(len(table), dtype=U)) % U(buckets)).astype(np.int32)
         for k in np.unique(of):
             rows.append((int(k), 0, table[of == k].tobytes()))
         if sigs:
-            sig = np.concatenate(sigs)
+            sig, ref = np.concatenate(sigs), np.concatenate(refs)
+            sig, ref, apart = split_crowds(sig, ref, buckets)
+            of = (mix(apart["ref"]) % U(buckets)).astype(np.int32)
+            rows += [(int(k), 3, apart[of == k].tobytes()) for k in np.unique(of)]
             of = (sig % U(buckets)).astype(np.int32)
             order = np.argsort(of, kind="stable")
             entry = np.empty(len(sig), ENTRY)
-            entry["sig"], entry["ref"] = (sig >> U(32))[order], np.concatenate(refs)[order]
+            entry["sig"], entry["ref"] = (sig >> U(32))[order], ref[order]
             stop = np.cumsum(np.bincount(of, minlength=buckets))
             start = np.concatenate(([0], stop[:-1]))
             rows += [(k, 1, entry[start[k] : stop[k]].tobytes()) for k in np.flatnonzero(stop > start).tolist()]
@@ -225,38 +271,46 @@ FOUND = "kind byte, x long, y long, z long, n int, e int, e2 int, bits array<big
 def _bucket(table: pa.Table) -> pa.Table:
     kinds = table.column("kind").to_numpy()
     data = table.column("data")
-    docs = np.frombuffer(b"".join(data[i].as_py() for i in np.flatnonzero(kinds == 0)), DOC)
-    entry = np.frombuffer(b"".join(data[i].as_py() for i in np.flatnonzero(kinds == 1)), ENTRY)
+    read = lambda kind, dtype: np.frombuffer(b"".join(data[i].as_py() for i in np.flatnonzero(kinds == kind)), dtype)
+    docs, entry, apart = read(0, DOC), read(1, ENTRY), read(3, MEMBER)
     out = [_rows(0, docs["id"], docs["d1"], docs["d2"], docs["n"], docs["e0"], docs["e1"], null=docs["null"] == 1, bits=docs["bits"])]
+    if len(apart):
+        out.append(_stars(apart["head"], apart["ref"], 1))
+        out.append(_rows(2, apart["group"], apart["ref"], e=np.ones(len(apart))))
     if len(entry):
-        order = np.lexsort((entry["ref"], entry["sig"]))
+        order = np.lexsort((entry["ref"] & ~U(2), entry["sig"]))
         sig, ref = entry["sig"][order].astype(U), entry["ref"][order]
-        new = np.ones(len(sig), bool)
-        new[1:] = (sig[1:] != sig[:-1]) | (ref[1:] >> U(1) != ref[:-1] >> U(1))
-        sig, ref = sig[new], ref[new]
-        start = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+        marked = ref & U(2) > 0
+        ref = ref & ~U(2)
+        same = np.zeros(len(sig), bool)  # a set that several batches hold
+        same[1:] = (sig[1:] == sig[:-1]) & (ref[1:] >> U(2) == ref[:-1] >> U(2))
+        start = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+        crowd = np.repeat(np.logical_or.reduceat(marked, start), np.diff(np.append(start, len(sig))))
+        sig, ref, crowd = sig[~same], ref[~same], crowd[~same]
+        start = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
         size = np.diff(np.append(start, len(sig)))
-        many = np.repeat(size, size) > 1
-        if many.any():
-            head = np.repeat(start, size)[many]
-            own = np.flatnonzero(many)
-            node = ref & ~U(1)
-            star = own != head
-            wide = np.repeat(size, size)[own] > 2
-            for flag in (0, 1):  # pairs that meet as two, stars of larger groups
-                take = star & (wide == bool(flag))
-                pairs, count = np.unique(np.column_stack([ref[head[take]], ref[own[take]]]), axis=0, return_counts=True)
-                out.append(_rows(1, pairs[:, 0], pairs[:, 1], n=np.full(len(pairs), flag), e=count))
-            big = np.flatnonzero(size > 2)
-            if len(big):
-                total = np.add.reduceat(mix(ref), start)[big] + size[big].astype(U)
-                total, first, count = np.unique(total, return_index=True, return_counts=True)
-                pick = big[first]
-                at = np.repeat(start[pick] - (np.cumsum(size[pick]) - size[pick]), size[pick]) + np.arange(size[pick].sum())
-                out.append(_rows(2, np.repeat(total, size[pick]), ref[at], e=np.repeat(count, size[pick])))
+        wide = np.repeat(size, size)
+        head = np.repeat(start, size)
+        star = head != np.arange(len(sig))
+        for flag, take in ((0, star & (wide == 2) & ~crowd), (1, star & ((wide > 2) | crowd))):  # pairs that meet as two, stars of larger groups
+            out.append(_stars(ref[head[take]], ref[take], flag))
+        if crowd.any():
+            out.append(_rows(2, group_of(sig[crowd], np.full(int(crowd.sum()), table.column("bucket")[0].as_py())), ref[crowd], e=np.ones(int(crowd.sum()))))
+        big = np.flatnonzero((size > 2) & ~crowd[start])
+        if len(big):
+            total = np.add.reduceat(mix(ref), start)[big] + size[big].astype(U)
+            total, first, count = np.unique(total, return_index=True, return_counts=True)
+            pick = big[first]
+            at = np.repeat(start[pick] - (np.cumsum(size[pick]) - size[pick]), size[pick]) + np.arange(size[pick].sum())
+            out.append(_rows(2, np.repeat(total, size[pick]), ref[at], e=np.repeat(count, size[pick])))
     return pa.concat_tables(out)
 
 
+def _stars(head: np.ndarray, ref: np.ndarray, flag: int) -> pa.Table:
+    pairs, count = np.unique(np.column_stack([head, ref]), axis=0, return_counts=True)
+    return _rows(1, pairs[:, 0], pairs[:, 1], n=np.full(len(pairs), flag), e=count)
+
+
 def _rows(kind, x, y=None, z=None, n=None, e=None, e2=None, null=None, bits=None) -> pa.Table:
     m = len(x)
     long = lambda v: pa.array(np.zeros(m, np.int64) if v is None else np.ascontiguousarray(v).astype(np.uint64, copy=False).view(np.int64) if v.dtype == U else np.ascontiguousarray(v).astype(np.int64))
@@ -266,6 +320,10 @@ def _rows(kind, x, y=None, z=None, n=None, e=None, e2=None, null=None, bits=None
     return pa.table([pa.array(np.full(m, kind, np.int8)), first, long(y), long(z), small(n), small(e), small(e2), lists], names=["kind", "x", "y", "z", "n", "e", "e2", "bits"])
 
 
+#: A component's label is one key of many rows; joins on it are spread over so many.
+SALT = 16
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node of each node's connected component, for the nodes of
     ``edges`` (u, v).  Staged."""
@@ -273,8 +331,10 @@ def components(edges: DataFrame) -> DataFrame:
     labels = stage(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("m"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        step = labels.join(near, "node").join(jump, "label").select("node", F.least("label", "m", "far").alias("label"), F.col("label").alias("was"))
+        heads = labels.select("label").distinct().join(labels.select(F.col("node").alias("label"), F.col("label").alias("far")), "label").filter("far < label")
+        jump = heads.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        salted = labels.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALT)).cast("int"))
+        step = salted.join(jump, ["label", "salt"], "left").join(near, "node").select("node", F.least("label", "m", "far").alias("label"), F.col("label").alias("was"))
         after = stage(step, "labels")
         changed = after.filter("label <> was").limit(1).count()
         unstage(labels)
@@ -284,30 +344,36 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("node", "label")
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(u, v) keys of the classes whose sets link, among candidate pairs (x, y) of refs."""
-    pairs = stage(pairs, "pairs")
-    refs = pairs.select(F.col("x").alias("ref")).union(pairs.select("y")).distinct()
-    reps = refs.join(classes, "ref").select("ref", "d1", "d2", "rep").filter("rep is not null")
+def _texts(refs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """ref, d1, d2, rep, body of the classes named by ``refs`` (ref).  Staged."""
+    reps = refs.distinct().join(classes, "ref").select("ref", "d1", "d2", "rep").filter("rep is not null")
     bodies = docs.select(F.col(f"`{key}`").cast("long").alias("rep"), F.col(f"`{text}`").cast("binary").alias("body"))
-    texts = stage(reps.join(bodies, "rep"), "texts")
+    return stage(reps.join(bodies, "rep"), "texts")
+
+
+def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(u, v) keys of the classes whose sets link, among candidate pairs (x, y) of refs."""
     a = texts.select(F.col("ref").alias("x"), F.col("rep").alias("ra"), F.col("d1").alias("da"), F.col("d2").alias("da2"), F.col("body").alias("ba"))
     b = texts.select(F.col("ref").alias("y"), F.col("rep").alias("rb"), F.col("d1").alias("db"), F.col("d2").alias("db2"), F.col("body").alias("bb"))
     joined = pairs.join(a, "x").join(b, "y").select("ra", "da", "da2", "ba", "rb", "db", "db2", "bb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: OrderedDict = OrderedDict()
+        size = 0
 
         def set_of(d: tuple[int, int], body: bytes) -> np.ndarray | None:
             """The class's set; none if this row of the key has another text."""
+            nonlocal size
             at = (d, len(body))
             if at in held:
                 held.move_to_end(at)
                 return held[at]
             s = shingles(body)
             held[at] = s if tuple(np.array(digest(s), U).view(np.int64).tolist()) == d else None
-            if len(held) > 256:
-                held.popitem(last=False)
+            size += len(s) if held[at] is not None else 0
+            while size > HELD and len(held) > 2:
+                old = held.popitem(last=False)[1]
+                size -= len(old) if old is not None else 0
             return held[at]
 
         for batch in batches:
@@ -323,31 +389,30 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, tex
                     vs.append(rb[i].as_py())
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
-    out = stage(joined.mapInArrow(run, "u long, v long").filter("u <> v").distinct(), "links")
-    unstage(texts)
-    return out
+    return stage(joined.mapInArrow(run, "u long, v long").filter("u <> v").distinct(), "links")
 
 
 def _nodes(classes: DataFrame) -> DataFrame:
     """One row per class and instance: ref, size, inst, least (shared signatures of two sets
-    that link in it), empty (its signatures that are empty and not emitted)."""
+    that link in it), empty (its signatures that may be empty and, here or in a partner, not
+    emitted), runs (into how many its groups are split in ``_across``)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
             for ref, n, e0, e1 in zip(f["ref"], f["n"], f["e0"], f["e1"]):
                 for j, later in instances(int(n)):
-                    least, e = scheme(j)[2], e1 if later else e0
-                    rows.append((ref | later, n, j, least, e if e < least else 0))
-            yield pd.DataFrame(rows, columns=["ref", "size", "inst", "least", "empty"])
+                    plan, e = scheme(j), e1 if later else e0
+                    rows.append((ref | later, n, j, plan.least, min(e, plan.least - 1), max(1, plan.count // RUN)))
+            yield pd.DataFrame(rows, columns=["ref", "size", "inst", "least", "empty", "runs"])
 
     own = classes.groupBy("ref").agg(F.max("n").alias("n"), F.max("e0").alias("e0"), F.max("e1").alias("e1"))
-    return stage(own.mapInPandas(run, "ref long, size int, inst int, least int, empty int"), "nodes")
+    return stage(own.mapInPandas(run, "ref long, size int, inst int, least int, empty int, runs int"), "nodes")
 
 
 def _plain(pairs: DataFrame) -> DataFrame:
     """Distinct pairs of classes, without the instance bit, least first."""
-    plain = lambda c: F.col(c).bitwiseAND(F.lit(-2))
+    plain = lambda c: F.col(c).bitwiseAND(F.lit(-4))
     return pairs.select(F.least(plain("x"), plain("y")).alias("x"), F.greatest(plain("x"), plain("y")).alias("y")).filter("x <> y").distinct()
 
 
@@ -383,21 +448,29 @@ def _remaining(members: DataFrame) -> DataFrame:
             break
         before = n
     ahead = F.coalesce(F.sum("w").over(Window.partitionBy("y").orderBy("m", "g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = stage(held.withColumn("ahead", ahead).filter("ahead < u + empty - least + 1").select("g", "y", "label", "size", "inst"), "prefix")
+    out = stage(held.withColumn("ahead", ahead).filter("ahead < u + empty - least + 1").select("g", "y", "label", "size", "inst", "runs"), "prefix")
     unstage(held)
     return out
 
 
 def _across(prefix: DataFrame, bits: DataFrame) -> DataFrame:
     """All pairs of a group across components, of one instance, that can link by their sizes
-    and bitmaps: a bit that only one set has is a shingle that only it has."""
-    rows = prefix.withColumn("ref", F.col("y").bitwiseAND(F.lit(-2))).join(bits, "ref")
-    a = rows.select("g", F.col("y").alias("x"), F.col("size").alias("sx"), F.col("label").alias("lx"), F.col("inst").alias("ix"), *[F.get("bits", F.lit(i)).alias(f"a{i}") for i in range(WORDS)])
-    b = rows.select("g", "y", F.col("size").alias("sy"), F.col("label").alias("ly"), F.col("inst").alias("iy"), *[F.get("bits", F.lit(i)).alias(f"b{i}") for i in range(WORDS)])
+    and bitmaps: a bit that only one set has is a shingle that only it has.
+
+    Large sets share many groups.  A set's groups are dealt into runs of about RUN by their
+    names, and a pair is made only in the first group that both have in a run, which each
+    row's earlier groups of the run tell.  So rows carry a bounded list, and a pair is made
+    once for RUN groups at most."""
+    runs = prefix.groupBy("y", F.pmod("g", "runs").alias("run")).agg(F.sort_array(F.collect_list("g")).alias("gs"), *[F.first(c).alias(c) for c in ("label", "size", "inst")])
+    rows = runs.withColumn("ref", F.col("y").bitwiseAND(F.lit(-4))).join(bits, "ref")
+    rows = rows.select("y", "label", "size", "inst", "bits", "gs", F.posexplode("gs").alias("i", "g"))
+    rows = rows.withColumn("before", F.slice("gs", F.lit(1), F.col("i")))
+    a = rows.select("g", F.col("y").alias("x"), F.col("size").alias("sx"), F.col("label").alias("lx"), F.col("inst").alias("ix"), F.col("before").alias("bx"), *[F.get("bits", F.lit(i)).alias(f"a{i}") for i in range(WORDS)])
+    b = rows.select("g", "y", F.col("size").alias("sy"), F.col("label").alias("ly"), F.col("inst").alias("iy"), F.col("before").alias("by"), *[F.get("bits", F.lit(i)).alias(f"b{i}") for i in range(WORDS)])
     only = lambda u, v: sum((F.bit_count(F.col(f"{u}{i}").bitwiseAND(F.bitwise_not(F.col(f"{v}{i}")))) for i in range(1, WORDS)), F.bit_count(F.col(f"{u}0").bitwiseAND(F.bitwise_not(F.col(f"{v}0")))))
     shared = F.least(F.col("sx") - only("a", "b"), F.col("sy") - only("b", "a"))
-    near = a.join(b, "g").filter((F.col("lx") < F.col("ly")) & (F.col("ix") == F.col("iy")) & ((100 + PERCENT) * shared >= PERCENT * (F.col("sx") + F.col("sy"))))
-    return _plain(near)
+    can = (F.col("lx") < F.col("ly")) & (F.col("ix") == F.col("iy")) & ((100 + PERCENT) * shared >= PERCENT * (F.col("sx") + F.col("sy")))
+    return _plain(a.join(b, "g").filter(can & ~F.arrays_overlap("bx", "by")))
 
 
 def _one_try(prefix: DataFrame, turn: int) -> DataFrame:
@@ -416,42 +489,51 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     found = stage(_emit(docs, key, text, buckets).groupBy("bucket").applyInArrow(_bucket, FOUND), "found")
     rows = found.filter("kind = 0").select(F.col("x").alias("doc_id"), F.col("y").alias("d1"), F.col("z").alias("d2"), "n", F.col("e").alias("e0"), F.col("e2").alias("e1"), "bits")
     classes = rows.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), *[F.max(c).alias(c) for c in ("n", "e0", "e1", "bits")])
-    classes = stage(classes.withColumn("ref", F.col("d1").bitwiseAND(F.lit(-2))), "classes")
+    classes = stage(classes.withColumn("ref", F.col("d1").bitwiseAND(F.lit(-4))), "classes")
 
     nodes = _nodes(classes)
     met = stage(found.filter("kind = 1").groupBy("x", "y").agg(F.sum("e").alias("c"), F.sum(F.when(F.col("n") == 0, F.col("e"))).alias("twos")), "met")
     # Likely links first: they join most of what belongs together, and settle large groups.
     first = stage(_likely(met, nodes), "likely")
-    links = _verify(first, classes, docs, key, text)
+    texts = _texts(first.select(F.col("x").alias("ref")).union(first.select("y")), classes, docs, key, text)
+    links = _verify(first, texts)
+    unstage(texts)
     labels = components(links)
 
     # Then every pair across components that may still link.
     twos = met.filter("twos > 0").select(F.xxhash64("x", "y").alias("g"), F.explode(F.array("x", "y")).alias("y"), F.col("twos").alias("w"))
     members = found.filter("kind = 2").groupBy(F.col("x").alias("g"), "y").agg(F.sum("e").alias("w")).unionByName(twos)
-    # In a large group of near copies many links lead to the same component: single tries
-    # join most of it, while they find anything to speak of; then all pairs that are left.
     members = stage(members, "groups")
-    known = nodes.withColumnRenamed("ref", "y").withColumn("ref", F.col("y").bitwiseAND(F.lit(-2)))
+    unstage(met)
+    known = nodes.withColumnRenamed("ref", "y").withColumn("ref", F.col("y").bitwiseAND(F.lit(-4)))
     reps = classes.groupBy("ref").agg(F.min("rep").alias("rep"))
 
     def remaining(labels: DataFrame) -> DataFrame:
         named = reps.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("ref", F.coalesce("label", "rep").alias("label"))
         return _remaining(members.join(known.join(named, "ref").drop("ref"), "y"))
 
+    # In a large group of near copies many links lead to the same component: single tries
+    # join most of it, while they find anything to speak of; then all pairs that are left.
     prefix = remaining(labels)
+    texts = _texts(prefix.select(F.col("y").bitwiseAND(F.lit(-4)).alias("ref")), classes, docs, key, text)
     for turn in range(TURNS):
         tries = stage(_one_try(prefix, turn).join(first, ["x", "y"], "left_anti"), "tries")
-        new = _verify(tries, classes, docs, key, text)
+        new, n_tries = _verify(tries, texts), tries.count()
+        unstage(tries)
         n = new.count()
         if n:
             links = links.union(new)
             labels = components(links)
+            unstage(prefix)
             prefix = remaining(labels)
-        if 50 * n < tries.count() or n == 0:
+        if 10 * n < n_tries or n == 0:
             break
-    more = _verify(_across(prefix, classes.groupBy("ref").agg(F.max("bits").alias("bits"))).join(first, ["x", "y"], "left_anti"), classes, docs, key, text)
+    pairs = stage(_across(prefix, classes.groupBy("ref").agg(F.max("bits").alias("bits"))).join(first, ["x", "y"], "left_anti"), "pairs")
+    more = _verify(pairs, texts)
     if more.limit(1).count():
         labels = components(links.union(more))
+    for done in (members, nodes, first, prefix, pairs, texts):
+        unstage(done)
 
     final = classes.select("d1", "d2", "rep").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("d1", "d2", F.coalesce("label", "rep").alias("component"))
     out = rows.join(final, ["d1", "d2"], "left")
