@@ -2,8 +2,8 @@
 
 Rules that every operator of this subpackage keeps:
 
-* intermediate tables go to the folder named by ``spark.checkpoint.dir`` (one is
-  set only where none is, as in tests), never to a machine's own disk;
+* intermediate tables go to the folder named by ``spark.checkpoint.dir``; one is
+  set only where none is and everything runs in one process, as in tests;
 * words are maximal runs of anything but space and ``\\t``..``\\r``;
 * a null text counts as an empty one.
 """
@@ -32,6 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
         current = sc._jsc.sc().getCheckpointDir()
         found = current.get() if current.isDefined() else None
     if not found:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="pixelloom-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -43,10 +45,13 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: this cuts the
-    lineage, and a lost executor costs no more than a re-read."""
+    lineage, and a lost executor costs no more than a re-read.  The shuffles below it are
+    done with; Spark deletes their files when the driver collects its garbage, which is
+    asked for here, as a small heap may not need to for long."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    spark._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out
@@ -78,8 +83,3 @@ def words_of(text: Column) -> Column:
     """The words of ``text`` as an array."""
     parts = F.split(text, WS, -1)
     return F.filter(parts, lambda w: w != "")
-
-
-def first_only(df: DataFrame, *columns: str) -> DataFrame:
-    """Only the named columns, whatever else the table carries."""
-    return df.select(*[F.col(f"`{c}`") for c in columns])

@@ -5,7 +5,8 @@ The unit of editing is the word: two lines are near if one word substituted, add
 left out makes them equal (edit distance 1 over words), which must be at most one word
 in ``MIN_WORDS``; shorter lines are duplicates only if equal.  Lines are compared by
 their words, so white space does not matter.  A line goes if an *earlier* line of the
-corpus equals it or is near it; earlier means a smaller key, then a smaller line number.
+corpus equals it or is near it; earlier means a smaller key, then a smaller digest of the
+text (for rows that repeat a key), then a smaller line number.
 
 1.  Equal lines meet by a hash of their words: one row per distinct line, with its
     earliest place.
@@ -24,8 +25,8 @@ is no hot task and gives no pairs.  Texts are shuffled once for the lines of ste
 once for the result, keyed by document.
 
 Defined results: a null text stays null and has no lines; a null key sorts last; rows
-with the same key are at the same place, neither earlier; lines without words stay; a
-document that had words and lost all its lines goes (``dedup_lines``); extra columns
+that repeat a key are told apart by their texts; rows that repeat both are one document and
+get one result; lines without words stay; a document that had words and lost all its lines goes (``dedup_lines``); extra columns
 are kept; an empty table gives an empty result.
 """
 
@@ -63,10 +64,16 @@ def _power(base: int, p: int, i: Column) -> Column:
     return out
 
 
+def _document(key: str, text: str) -> list[Column]:
+    """o and d: the key (null last) and 60 bits of the text's digest."""
+    t = F.col(f"`{text}`")
+    return [F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(LAST)).alias("o"), F.conv(F.substring(F.md5(t.cast("binary")), 1, 15), 16, 10).cast("long").alias("d")]
+
+
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """o (place of the document), no (line number), words, for lines with words."""
-    rows = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(LAST)).alias("o"), F.posexplode(F.split(F.col(f"`{text}`"), "\n", -1)).alias("no", "line"))
-    return rows.select("o", "no", line_words(F.col("line")).alias("words")).filter(F.size("words") > 0)
+    """o, d (the document), no (line number), words, for lines with words."""
+    rows = docs.select(*_document(key, text), F.posexplode(F.split(F.col(f"`{text}`"), "\n", -1)).alias("no", "line"))
+    return rows.select("o", "d", "no", line_words(F.col("line")).alias("words")).filter(F.size("words") > 0)
 
 
 def _halves(words: Column, n: Column) -> Column:
@@ -87,25 +94,26 @@ def distinct_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     lines = _lines(docs, key, text)
     n = F.size("words")
     rows = lines.select(
-        F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), F.col("words"), F.lit(2)).alias("h2"), F.struct("o", "no").alias("place"), n.alias("n"),
+        F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), F.col("words"), F.lit(2)).alias("h2"), F.struct("o", "d", "no").alias("place"), n.alias("n"),
         F.when(n >= MIN_WORDS, _halves(F.col("words"), n)).alias("halves"),
     )
     return rows.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.max("n").alias("n"), F.max("halves").alias("halves"))
 
 
 def _near(docs: DataFrame, distinct: DataFrame, key: str, text: str) -> DataFrame:
-    """(o, no) of first occurrences that have an earlier near line."""
+    """(o, d, no) of first occurrences that have an earlier near line.  Staged."""
     long = distinct.filter("halves is not null")
     halves = long.select("place", F.explode("halves").alias("half"))
     met = halves.groupBy("half").agg(F.count("*").alias("c")).filter("c > 1").select("half")
     places = halves.join(met, "half", "left_semi").select("place").distinct()
-    wanted = places.groupBy(F.col("place.o").alias("o")).agg(F.collect_list("place.no").alias("nos"))  # a document's own lines
-    texts = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(LAST)).alias("o"), F.col(f"`{text}`").alias("t"))
-    # The lines that meet, once each (rows may repeat a key), with their words.
-    lines = texts.join(wanted, "o").select("o", F.split("t", "\n", -1).alias("lines"), "nos")
-    lines = lines.select("o", F.explode(F.transform("nos", lambda i: F.struct(i.alias("no"), F.get("lines", i).alias("line")))).alias("x")).select("o", "x.no", "x.line")
-    lines = lines.select(F.struct("o", "no").alias("place"), line_words(F.col("line")).alias("w")).filter(F.size("w") >= MIN_WORDS)
+    wanted = stage(places.groupBy(F.col("place.o").alias("o"), F.col("place.d").alias("d")).agg(F.collect_list("place.no").alias("nos")), "wanted")  # a document's own lines
+    texts = docs.select(*_document(key, text), F.col(f"`{text}`").alias("t"))
+    # The lines that meet, once each (rows may repeat), with their words.
+    lines = texts.join(wanted, ["o", "d"]).select("o", "d", F.split("t", "\n", -1).alias("lines"), "nos")
+    lines = lines.select("o", "d", F.explode(F.transform("nos", lambda i: F.struct(i.alias("no"), F.get("lines", i).alias("line")))).alias("x")).select("o", "d", "x.no", "x.line")
+    lines = lines.select(F.struct("o", "d", "no").alias("place"), line_words(F.col("line")).alias("w")).filter(F.size("w") >= MIN_WORDS)
     lines = stage(lines.groupBy(F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(1), F.col("w"), F.lit(2)).alias("h2")).agg(F.min_by("w", "place").alias("w"), F.min("place").alias("place")).select("place", "w"), "near-lines")
+    unstage(wanted)
 
     variants = stage(_variants(lines), "variants")
 
@@ -123,7 +131,7 @@ def _near(docs: DataFrame, distinct: DataFrame, key: str, text: str) -> DataFram
     a = lines.select("place", F.col("w").alias("a"))
     b = lines.select(F.col("place").alias("early"), F.col("w").alias("b"))
     sure = found.join(a, "place").join(b, "early").filter(within_one(F.col("a"), F.col("b")))
-    out = stage(sure.select("place.o", "place.no").distinct(), "near")
+    out = stage(sure.select("place.o", "place.d", "place.no").distinct(), "near")
     unstage(lines)
     unstage(variants)
     return out
@@ -167,10 +175,13 @@ def dedup_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     near = _near(docs, distinct, key, text)
     # The lines that stay are the first occurrences without an earlier near line: fewer
     # rows than the lines that go would need, and already known without the texts.
-    kept = distinct.select("place.o", "place.no").join(near, ["o", "no"], "left_anti").groupBy("o").agg(F.collect_list("no").alias("stay"))
+    first = distinct.select("place.o", "place.d", "place.no").join(near, ["o", "d", "no"], "left_anti")
+    kept = stage(first.groupBy("o", "d").agg(F.collect_list("no").alias("stay")), "kept")
+    unstage(distinct)
+    unstage(near)
     t = F.col(f"`{text}`")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), t.alias("t"), F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(LAST)).alias("o"))
-    rows = rows.join(kept, "o", "left").select("row", "t", F.coalesce("stay", F.array().cast("array<int>")).alias("stay"), F.split("t", "\n", -1).alias("lines"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), t.alias("t"), *_document(key, text))
+    rows = rows.join(kept, ["o", "d"], "left").select("row", "t", F.coalesce("stay", F.array().cast("array<int>")).alias("stay"), F.split("t", "\n", -1).alias("lines"))
     worded = F.transform("lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     rows = rows.withColumn("worded", worded)
     blank = F.filter(F.transform("worded", lambda x, i: F.when(~x, i)), lambda i: i.isNotNull())
@@ -192,17 +203,18 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 #: dedup_table(documents) as (doc_id, n_lines, n_dropped, text), in DuckDB SQL.
 SQL = r"""
-WITH l AS (SELECT doc_id, u.no AS no, u.line AS line, list_filter(regexp_split_to_array(u.line, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
-  FROM (SELECT doc_id, unnest([{'no': i, 'line': string_split(text, chr(10))[i + 1]} FOR i IN range(0, len(string_split(text, chr(10))))]) AS u FROM documents)),
-f AS (SELECT array_to_string(w, ' ') AS s, any_value(w) AS w, min({'o': doc_id, 'no': no}) AS p FROM l WHERE len(w) > 0 GROUP BY 1),
+WITH b AS (SELECT row_number() OVER () AS rid, doc_id, text, coalesce(doc_id, 9223372036854775807) AS o, ('0x' || substr(md5(text), 1, 15))::BIGINT AS d FROM documents),
+l AS (SELECT rid, o, d, u.no AS no, u.line AS line, list_filter(regexp_split_to_array(u.line, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM (SELECT rid, o, d, unnest([{'no': i, 'line': string_split(text, chr(10))[i + 1]} FOR i IN range(0, len(string_split(text, chr(10))))]) AS u FROM b)),
+f AS (SELECT array_to_string(w, ' ') AS s, any_value(w) AS w, min({'o': o, 'd': d, 'no': no}) AS p FROM l WHERE len(w) > 0 GROUP BY 1),
 v AS (SELECT p, u.i AS i, u.v AS v FROM (SELECT p, unnest([{'i': k, 'v': array_to_string(w[1:k - 1], ' ') || chr(10) || array_to_string(w[k + 1:], ' ')} FOR k IN range(1, len(w) + 1)]) AS u FROM f WHERE len(w) >= 8)),
 m AS (SELECT v, min(p) AS early FROM v GROUP BY v HAVING count(*) > 1),
 a AS (SELECT v.p FROM v JOIN m USING (v) WHERE m.early < v.p),
-d AS (SELECT p, u AS s FROM (SELECT p, unnest([array_to_string(w[1:k - 1] || w[k + 1:], ' ') FOR k IN range(1, len(w) + 1)]) AS u FROM f WHERE len(w) > 8)),
-b AS (SELECT CASE WHEN d.p < f.p THEN f.p ELSE d.p END AS p FROM d JOIN f ON d.s = f.s),
-g AS (SELECT p FROM a UNION SELECT p FROM b),
-k AS (SELECT p.o AS o, p.no AS no FROM f WHERE p NOT IN (SELECT p FROM g)),
-r AS (SELECT l.doc_id, l.no, l.line, len(l.w) > 0 AS worded, (len(l.w) = 0 OR k.o IS NOT NULL) AS stays FROM l LEFT JOIN k ON l.doc_id = k.o AND l.no = k.no)
-SELECT doc_id, count(*) FILTER (WHERE worded)::BIGINT AS n_lines, count(*) FILTER (WHERE NOT stays)::BIGINT AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (WHERE stays), '') AS text
-FROM r GROUP BY doc_id
+x AS (SELECT p, u AS s FROM (SELECT p, unnest([array_to_string(w[1:k - 1] || w[k + 1:], ' ') FOR k IN range(1, len(w) + 1)]) AS u FROM f WHERE len(w) > 8)),
+y AS (SELECT CASE WHEN x.p < f.p THEN f.p ELSE x.p END AS p FROM x JOIN f ON x.s = f.s),
+g AS (SELECT p FROM a UNION SELECT p FROM y),
+k AS (SELECT p.o AS o, p.d AS d, p.no AS no FROM f WHERE p NOT IN (SELECT p FROM g)),
+r AS (SELECT l.rid, l.no, l.line, len(l.w) > 0 AS worded, (len(l.w) = 0 OR k.o IS NOT NULL) AS stays FROM l LEFT JOIN k ON l.o = k.o AND l.d = k.d AND l.no = k.no),
+t AS (SELECT rid, count(*) FILTER (WHERE worded) AS n, count(*) FILTER (WHERE NOT stays) AS gone, coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (WHERE stays), '') AS left_ FROM r GROUP BY rid)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_lines, coalesce(gone, 0)::BIGINT AS n_dropped, left_ AS text FROM b LEFT JOIN t USING (rid)
 """
