@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cdf import chi2_cdf
+from . import ranks
 
 
 def contingency(df: DataFrame, pred: str, label: str) -> DataFrame:
@@ -14,7 +15,8 @@ def contingency(df: DataFrame, pred: str, label: str) -> DataFrame:
 
 
 def kappa(df: DataFrame, pred: str, label: str) -> DataFrame:
-    """Overall accuracy, kappa and its variance, from the table of counts alone."""
+    """Overall accuracy, kappa and its variance, from the table of counts alone; kappa is null
+    if one class holds everything on both sides."""
     t = df.groupBy(F.col(pred).alias("p"), F.col(label).alias("l")).agg(F.count("*").cast("double").alias("c"))
     rows = t.groupBy("p").agg(F.sum("c").alias("r"))
     cols = t.groupBy("l").agg(F.sum("c").alias("k"))
@@ -30,16 +32,33 @@ def kappa(df: DataFrame, pred: str, label: str) -> DataFrame:
     ).join(F.broadcast(margin))
     s = s.withColumn("t2", F.col("m2") / F.col("n") ** 2)
     t1, t2, t3, t4 = (F.col(f"t{i}") for i in (1, 2, 3, 4))
-    var = (t1 * (1 - t1) / (1 - t2) ** 2 + 2 * (1 - t1) * (2 * t1 * t2 - t3) / (1 - t2) ** 3 + (1 - t1) ** 2 * (t4 - 4 * t2**2) / (1 - t2) ** 4) / F.col("n")
-    return s.select(t1.alias("accuracy"), ((t1 - t2) / (1 - t2)).alias("kappa"), var.alias("kappa_var"))
+    part = lambda a, k: F.try_divide(a, (1 - t2) ** k)
+    var = F.try_divide(part(t1 * (1 - t1), 2) + part(2 * (1 - t1) * (2 * t1 * t2 - t3), 3) + part((1 - t1) ** 2 * (t4 - 4 * t2**2), 4), F.col("n"))
+    return s.select(t1.alias("accuracy"), part(t1 - t2, 1).alias("kappa"), var.alias("kappa_var"))
+
+
+def class_accuracies(df: DataFrame, pred: str, label: str) -> DataFrame:
+    """Per class: rows and hits, user's accuracy (of the rows so predicted) and producer's
+    (of the rows so labelled); null without such rows."""
+    t = df.select(F.explode(F.array(F.struct(F.col(pred).alias("cls"), F.lit(1).alias("p"), F.lit(0).alias("l")), F.struct(F.col(label).alias("cls"), F.lit(0).alias("p"), F.lit(1).alias("l")))).alias("t"), (F.col(pred) == F.col(label)).cast("int").alias("hit"))
+    s = t.groupBy("t.cls").agg(F.sum("t.p").alias("n_pred"), F.sum("t.l").alias("n_label"), F.sum(F.col("t.p") * F.col("hit")).alias("n_hit"))
+    return s.select("cls", "n_pred", "n_label", "n_hit", F.try_divide("n_hit", "n_pred").alias("user_accuracy"), F.try_divide("n_hit", "n_label").alias("producer_accuracy"))
+
+
+def misclassification(df: DataFrame, pred: str, label: str) -> DataFrame:
+    """Rate, standard deviation and 95 % interval of the error."""
+    t = df.agg(F.count("*").cast("double").alias("n"), F.count_if(F.col(pred) != F.col(label)).cast("double").alias("y"))
+    n, y = F.col("n"), F.col("y")
+    half = 1.96 * F.sqrt(0.96 + F.try_divide(y * (n - y), n))
+    return t.select(F.try_divide(y, n).alias("rate"), F.sqrt(F.try_divide(y * (n - y), n * n * n)).alias("sd"), ((y + 1.921 - half) / (3.842 + n)).alias("low"), ((y + 1.921 + half) / (3.842 + n)).alias("high"))
 
 
 def mcnemar(df: DataFrame, a: str, b: str, label: str) -> DataFrame:
     """Two predictions against the truth: discordant counts, statistic, p-value."""
     ok_a, ok_b = F.col(a) == F.col(label), F.col(b) == F.col(label)
     t = df.agg(F.count_if(~ok_a & ok_b).alias("n01"), F.count_if(ok_a & ~ok_b).alias("n10"))
-    x = F.when(F.col("n01") + F.col("n10") > 0, (F.col("n01") - F.col("n10")) ** 2 / (F.col("n01") + F.col("n10"))).otherwise(0.0)
-    return t.select("n01", "n10", x.alias("statistic"), (1 - chi2_cdf(x, 1)).alias("p_value"))
+    x = F.coalesce(F.try_divide((F.col("n01") - F.col("n10")) ** 2, F.col("n01") + F.col("n10")), F.lit(0.0))
+    return t.withColumn("statistic", x).select("n01", "n10", "statistic", (1 - chi2_cdf(F.col("statistic"), 1)).alias("p_value"))
 
 
 def binary_metrics(df: DataFrame, truth: Column, pred: Column) -> DataFrame:
@@ -50,23 +69,24 @@ def binary_metrics(df: DataFrame, truth: Column, pred: Column) -> DataFrame:
     tp, fn, fp, tn = c("tp"), c("fn"), c("fp"), c("tn")
     den = F.sqrt((tp + fn) * (tp + fp) * (tn + fp) * (tn + fn) * 1.0)
     return t.select(
-        ((fn + fp) / (tp + fn + fp + tn)).alias("error"), ((tp + tn) / (tp + fn + fp + tn)).alias("accuracy"), part(fn, tp + fn).alias("error_p"), part(fp, tn + fp).alias("error_n"),
+        F.try_divide(fn + fp, tp + fn + fp + tn).alias("error"), F.try_divide(tp + tn, tp + fn + fp + tn).alias("accuracy"), part(fn, tp + fn).alias("error_p"), part(fp, tn + fp).alias("error_n"),
         part(tp, tp + fn).alias("sensitivity"), part(tn, tn + fp).alias("specificity"), part(tp, tp + fp).alias("ppv"), part(tn, tn + fn).alias("npv"), ((tp * tn - fp * fn) / F.when(den == 0, 1.0).otherwise(den)).alias("mcc"),
     )
 
 
 def auc(df: DataFrame, truth: Column, score: Column) -> DataFrame:
-    """Share of (positive, negative) pairs in the right order; ties count nothing.  Counts
-    per score first, then one running sum over distinct scores."""
-    t = df.groupBy(score.alias("s")).agg(F.count_if(truth).alias("p"), F.count_if(~truth).alias("q"))
-    below = t.withColumn("b", F.coalesce(F.sum("q").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return below.agg((F.sum(F.col("p") * F.col("b")) / (F.sum("p") * F.sum("q"))).alias("auc"))
+    """Share of (positive, negative) pairs in the right order; ties count nothing.  Counts per
+    score, then negatives below each score by ranges; null with one class only."""
+    t = df.groupBy(score.cast("double").alias("s")).agg(F.count_if(truth).alias("p"), F.count_if(~truth).alias("q"))
+    below = ranks.before(t, "s", {"b": "q"})
+    return below.agg(F.try_divide(F.sum(F.col("p") * F.col("b")).cast("double"), F.sum("p").cast("double") * F.sum("q")).alias("auc"))
 
 
 def regression_metrics(df: DataFrame, truth: str, pred: str) -> DataFrame:
+    """mse, r2 and squared correlation; null where a variance is 0."""
     e = F.col(truth) - F.col(pred)
-    t = df.agg(F.avg(e * e).alias("mse"), F.var_pop(truth).alias("v"), F.corr(truth, pred).alias("r"))
-    return t.select("mse", (1 - F.col("mse") / F.col("v")).alias("r2"), (F.col("r") ** 2).alias("r2_corr"))
+    t = df.agg(F.avg(e * e).alias("mse"), F.var_pop(truth).alias("v"), F.var_pop(pred).alias("u"), F.covar_pop(truth, pred).alias("c"))
+    return t.select("mse", (1 - F.try_divide("mse", "v")).alias("r2"), F.try_divide(F.col("c") * F.col("c"), F.col("u") * F.col("v")).alias("r2_corr"))
 
 
 def hash_order(key: Column) -> Column:
@@ -74,27 +94,59 @@ def hash_order(key: Column) -> Column:
     return F.pmod(key * 2654435761, F.lit(1000003))
 
 
+#: Ranges of the hash order in which one task numbers rows.
+SLOTS = 64
+
+
+def numbered(df: DataFrame, key: str, stratum: str) -> DataFrame:
+    """``n_``: the place of each row of a stratum in hash order, from 0.  Rows are numbered
+    within ranges of the hash, which are even, and ranges by their counts."""
+    h = hash_order(F.col(key))
+    ranged = df.withColumn("slot_", F.floor(h * SLOTS / 1000003).cast("int"))
+    sizes = ranged.groupBy(F.col(stratum).alias("s_"), "slot_").agg(F.count("*").alias("c_"))
+    ahead = Window.partitionBy("s_").orderBy("slot_").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("s_", "slot_", F.coalesce(F.sum("c_").over(ahead), F.lit(0)).alias("o_"))
+    own = ranged.withColumn("n_", F.row_number().over(Window.partitionBy(stratum, "slot_").orderBy(h, key)) - 1)
+    out = own.join(offsets, own[stratum].eqNullSafe(offsets["s_"]) & (own["slot_"] == offsets["slot_"]))
+    return out.select(*[own[c] for c in df.columns], (F.col("n_") + F.col("o_")).alias("n_"))
+
+
 def stratified_folds(df: DataFrame, key: str, stratum: str, k: int) -> DataFrame:
     """Fold number 0..k-1, dealt within each stratum in hash order."""
-    w = Window.partitionBy(stratum).orderBy(hash_order(F.col(key)), key)
-    return df.withColumn("fold", ((F.row_number().over(w) - 1) % k).cast("int"))
+    return numbered(df, key, stratum).withColumn("fold", (F.col("n_") % k).cast("int")).drop("n_")
+
+
+def random_split(df: DataFrame, key: str, stratum: str, share: float) -> DataFrame:
+    """``test``: the first ``share`` of each stratum in hash order, rounded down."""
+    sizes = df.groupBy(F.col(stratum).alias("t_")).agg(F.count("*").alias("m_"))
+    rows = numbered(df, key, stratum)
+    out = rows.join(F.broadcast(sizes), rows[stratum].eqNullSafe(sizes["t_"]))
+    return out.select(*[rows[c] for c in df.columns], (F.col("n_") < F.floor(F.col("m_") * share)).alias("test"))
 
 
 def borda(lists: DataFrame, k: int) -> DataFrame:
-    """lists: (list_id, pos from 0, id).  Extractions within the first k and mean position."""
+    """lists: (list_id, pos from 0, id).  Extractions within the first k and mean position, and
+    the rank by these (more extractions first); rows meet by their extractions only."""
     top = F.col("pos") < k
     t = lists.groupBy("id").agg(F.count_if(top).alias("extractions"), F.coalesce(F.avg(F.when(top, F.col("pos"))), F.lit(0.0)).alias("mean_pos"))
-    return t.select("id", "extractions", "mean_pos", F.row_number().over(Window.orderBy(F.desc("extractions"), "mean_pos", "id")).alias("rank"))
+    t = t.withColumn("less", -F.col("extractions"))
+    sizes = t.groupBy("less").agg(F.count("*").alias("c"))
+    ahead = ranks.before(sizes, "less", {"o": "c"}).select("less", "o")
+    own = F.row_number().over(Window.partitionBy("extractions").orderBy("mean_pos", "id"))
+    return t.withColumn("r", own).join(ahead, "less").select("id", "extractions", "mean_pos", (F.col("r") + F.col("o")).cast("int").alias("rank"))
 
 
 def canberra_stability(lists: DataFrame, k: int, p: int) -> DataFrame:
     """Mean Canberra distance of all pairs of lists over positions up to k, divided by its
-    expectation for random lists of p items."""
+    expectation for random lists of p items; an item that either list lacks adds nothing.  An
+    item's distances depend on how many lists have it at each of k + 1 places, so counts stand
+    for the pairs.  Null for fewer than two lists."""
     pos = F.least(F.col("pos") + 1, F.lit(k + 1))
-    a = lists.select(F.col("list_id").alias("la"), "id", pos.alias("pa"))
-    b = lists.select(F.col("list_id").alias("lb"), "id", pos.alias("pb"))
-    d = a.join(b, "id").filter("la < lb").groupBy("la", "lb").agg(F.sum(F.abs(F.col("pa") - F.col("pb")) / (F.col("pa") + F.col("pb"))).alias("d"))
-    return d.agg((F.avg("d") / F.lit(canberra_expected(p, k))).alias("stability"))
+    counts = lists.groupBy("id").agg(*[F.count_if(pos == i).cast("double").alias(f"c{i}") for i in range(1, k + 2)])
+    of_item = sum((F.col(f"c{i}") * F.col(f"c{j}") * (abs(i - j) / (i + j)) for i in range(1, k + 2) for j in range(i + 1, k + 2)), F.lit(0.0))
+    total = counts.agg(F.sum(of_item).alias("d"))
+    n = lists.select("list_id").distinct().agg((F.count("*").cast("double") * (F.count("*") - 1) / 2).alias("pairs"))
+    return total.join(n).select((F.try_divide("d", "pairs") / F.lit(canberra_expected(p, k))).alias("stability"))
 
 
 def canberra_expected(p: int, k: int) -> float:

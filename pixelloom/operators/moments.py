@@ -63,41 +63,51 @@ def mutual_information(df: DataFrame, a: Column, b: Column) -> DataFrame:
     return j.agg(F.sum(F.col("c") / F.col("n") * F.log(F.col("c") * F.col("n") / (F.col("ca") * F.col("cb")))).alias("mi"))
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson's correlation as an aggregate; null where a band is constant."""
+    r = F.try_divide(F.covar_samp(x, y), F.sqrt(F.var_samp(x) * F.var_samp(y)))
+    return F.when(r.isNotNull(), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)))
+
+
 def orthogonal_regression(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Total least squares y = a + b x, with the correlation r."""
-    m = df.agg(F.avg(x).alias("mx"), F.avg(y).alias("my"), F.var_samp(x).alias("sxx"), F.var_samp(y).alias("syy"), F.covar_samp(x, y).alias("sxy"), F.corr(x, y).alias("r"))
+    """Total least squares y = a + b x, with the correlation r.  Uncorrelated bands: slope 0 if
+    x varies more than y, else null (a vertical line), r null if a band is constant."""
+    m = df.agg(F.avg(x).alias("mx"), F.avg(y).alias("my"), F.var_samp(x).alias("sxx"), F.var_samp(y).alias("syy"), F.covar_samp(x, y).alias("sxy"), correlation(x, y).alias("r"))
     d = F.col("syy") - F.col("sxx")
-    b = (d + F.sqrt(d * d + 4 * F.col("sxy") ** 2)) / (2 * F.col("sxy"))
+    b = F.coalesce(F.try_divide(d + F.sqrt(d * d + 4 * F.col("sxy") * F.col("sxy")), 2 * F.col("sxy")), F.when((F.col("sxy") == 0) & (d < 0), 0.0))
     return m.select(b.alias("slope"), (F.col("my") - b * F.col("mx")).alias("intercept"), "r")
 
 
 def linear_regression(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    return df.groupBy(*by).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.corr(y, x).alias("r"))
+    return df.groupBy(*by).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), correlation(x, y).alias("r"))
 
 
-def multiple_regression(df: DataFrame, xs: list[str], y: str, ridge: float = 0.0) -> tuple[np.ndarray, float]:
-    """Coefficients and intercept by normal equations on centred sums."""
-    mean, cov = matrices(moments(df, [*xs, y]).first(), [*xs, y])
-    n = df.count()
-    k = len(xs)
-    beta = np.linalg.solve(cov[:k, :k] * (n - 1) + ridge * np.eye(k), cov[:k, k] * (n - 1))
-    return beta, float(mean[k] - beta @ mean[:k])
+def multiple_regression(df: DataFrame, xs: list[str], y: str, ridge: float = 0.0) -> tuple[np.ndarray, float, int]:
+    """Coefficients, intercept and rank by normal equations on centred sums, from one
+    aggregation; the pseudo-inverse where regressors depend on one another."""
+    row = moments(df, [*xs, y]).first()
+    mean, cov = matrices(row, [*xs, y])
+    k, s = len(xs), cov * (row["n"] - 1)
+    a = s[:k, :k] + ridge * np.eye(k)
+    beta = np.linalg.pinv(a, hermitian=True) @ s[:k, k]
+    return beta, float(mean[k] - beta @ mean[:k]), int(np.linalg.matrix_rank(a, hermitian=True))
 
 
 def two_band_ols(df: DataFrame, x1: str, x2: str, y: str, ridge: float = 0.0) -> DataFrame:
-    """Ordinary (or ridge) least squares on two regressors, in closed form."""
+    """Ordinary (or ridge) least squares on two regressors, in closed form; null for
+    regressors that depend on one another."""
     m = moments(df, [x1, x2, y])
     k = F.col("n") - 1
     s11, s22, s12 = F.col(f"cov_{x1}_{x1}") * k + ridge, F.col(f"cov_{x2}_{x2}") * k + ridge, F.col(f"cov_{x1}_{x2}") * k
     t1, t2 = F.col(f"cov_{x1}_{y}") * k, F.col(f"cov_{x2}_{y}") * k
     det = s11 * s22 - s12 * s12
-    b1, b2 = (s22 * t1 - s12 * t2) / det, (s11 * t2 - s12 * t1) / det
+    b1, b2 = F.try_divide(s22 * t1 - s12 * t2, det), F.try_divide(s11 * t2 - s12 * t1, det)
     return m.select(b1.alias("beta1"), b2.alias("beta2"), (F.col(f"mean_{y}") - b1 * F.col(f"mean_{x1}") - b2 * F.col(f"mean_{x2}")).alias("intercept"))
 
 
-def separability(df: DataFrame, bands: list[str], by: str) -> list[tuple[str, str, float]]:
-    """Jeffries-Matusita distance for each pair of classes."""
-    rows = {r[by]: matrices(r, bands) for r in moments(df, bands, [by]).collect()}
+def separability(df: DataFrame, bands: list[str], by: str) -> DataFrame:
+    """Jeffries-Matusita distance for each pair of classes over several bands."""
+    rows = {r[by]: matrices(r, bands) for r in moments(df, bands, [by]).collect()}  # one row a class
     out = []
     for a in sorted(rows):
         for b in sorted(rows):
@@ -105,8 +115,8 @@ def separability(df: DataFrame, bands: list[str], by: str) -> list[tuple[str, st
                 (m1, s1), (m2, s2) = rows[a], rows[b]
                 s, d = (s1 + s2) / 2, m1 - m2
                 bh = d @ np.linalg.solve(s, d) / 8 + 0.5 * np.log(np.linalg.det(s) / np.sqrt(np.linalg.det(s1) * np.linalg.det(s2)))
-                out.append((a, b, float(2 * (1 - np.exp(-bh)))))
-    return out
+                out.append((a, b, float(bh), float(2 * (1 - np.exp(-bh)))))
+    return df.sparkSession.createDataFrame(out, "c1 string, c2 string, bhattacharyya double, jm double")
 
 
 def jeffries_matusita(df: DataFrame, band: str, cls: str) -> DataFrame:
