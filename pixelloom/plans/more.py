@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cdf import chi2_cdf_sql
-from ..operators import change, classify, cluster, focal, learn, local, metrics, moments, radar, regress, sampling, series, transforms
+from ..operators import change, classify, cluster, fits, focal, learn, local, metrics, moments, radar, regress, sampling, series, transforms
 from ..sources import adapters as A
 from .registry import _K, _N, _PRED, R, _omnibus_sql, _pred, _FOLD, kmeans_sql, query, rnd  # noqa: F401
 
@@ -775,4 +775,53 @@ def toy_clusters(spark, sf):
     return rnd(sampling.toy_clusters(spark, 300, 3))
 
 
-_ = math
+
+# ------------------------------------------------------------- fits, names, logs
+
+
+@query("WITH s AS (SELECT a.i AS a, b.i AS b FROM range(0, 4) a(i), range(0, 4) b(i) WHERE a.i < b.i), n AS (SELECT *, (row_number() OVER (ORDER BY a, b) - 1)::INTEGER AS split FROM s) SELECT split, i::INTEGER AS place, (i = a OR i = b) AS test FROM n, range(0, 4) p(i)")
+def all_splits(spark, sf):
+    return fits.all_splits(spark, 4, 50)
+
+
+@query("SELECT p_partkey, round(gamma(p_size / 10.0 + 0.5), 6) + 0.0 AS g, round(factorial((p_size % 15)::INTEGER)::DOUBLE, 0) AS f FROM part")
+def gamma_factorial(spark, sf):
+    p = A.table(spark, sf, "part")
+    return p.select("p_partkey", (F.round(fits.gamma(F.col("p_size") / 10.0 + 0.5), 6) + 0.0).alias("g"), F.factorial((F.col("p_size") % 15).cast("int")).cast("double").alias("f"))
+
+
+@query("SELECT url FROM pages WHERE regexp_matches(url, '/en/[0-9]+') AND NOT regexp_matches(url, '[?#]')")
+def series_files(spark, sf):
+    return fits.series_files(A.table(spark, sf, "pages").select("url"), "url", "/en/[0-9]+", "[?#]")
+
+
+@query("SELECT 'o_orderkey: ' || o_orderkey || '; o_orderpriority: ' || o_orderpriority || '; o_orderstatus: ' || o_orderstatus AS line FROM orders")
+def metadata_log(spark, sf):
+    return fits.metadata_log(A.table(spark, sf, "orders"), ["o_orderkey", "o_orderpriority", "o_orderstatus"])
+
+
+@query(
+    f"WITH {A.PAIR}, m AS (SELECT avg(a1) AS m1, avg(c1) AS m2, var_samp(a1) AS s11, var_samp(c1) AS s22, covar_samp(a1, c1) AS s12 FROM pair), e AS (SELECT *, (s11 + s22 - sqrt((s11 - s22) ** 2 + 4 * s12 * s12)) / 2 AS l FROM m), v AS (SELECT *, s12 / sqrt(s12 * s12 + (l - s11) ** 2) AS u1, (l - s11) / sqrt(s12 * s12 + (l - s11) ** 2) AS u2 FROM e) "
+    f"SELECT id, {R('abs((a1 - m1) * u1 + (c1 - m2) * u2)', 'change', 5)} FROM pair, v"
+)
+def bitemporal_pca(spark, sf):
+    out, _, _ = classify.pca(A.pair(spark, sf).select("id", "a1", "c1"), ["a1", "c1"])
+    return rnd(out.select("id", F.abs("pc2").alias("change")), 5)
+
+
+@query()
+def iterated_pca(spark, sf):
+    out, _ = fits.iterated_pca(A.pair(spark, sf).select("id", "a1", "c1"), "a1", "c1")
+    return rnd(out.select("id", F.abs("pc2").alias("change")), 4)
+
+
+@query()
+def kernel_ridge(spark, sf):
+    d = _px(spark, sf)
+    out = fits.kernel_ridge(d.select("l_partkey", "a", "b"), _landmarks(spark, sf, 100).withColumn("y", F.col("a") + F.col("b")), ["a", "b"], "y", 0.1, 20.0)
+    return rnd(out.groupBy("l_partkey").agg(F.avg("fit").alias("fit")), 3)
+
+
+@query()
+def organizing_map(spark, sf):
+    return fits.organizing_map(_px(spark, sf), _landmarks(spark, sf, 500), ["a", "b"], 3).groupBy("cell").agg(F.count("*").alias("n"))

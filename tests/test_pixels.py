@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pixelloom.functions.cdf import chi2_cdf
 from pixelloom.functions import cdf
-from pixelloom.operators import change, classify, cluster, focal, learn, local, metrics, moments, radar, ranks, regress, sampling, series, transforms
+from pixelloom.operators import change, classify, cluster, fits, focal, learn, local, metrics, moments, radar, ranks, regress, sampling, series, transforms
 from pixelloom.plans import registry
 from pixelloom.sources import files
 
@@ -414,3 +414,25 @@ def test_wavelet_of_a_pure_tone(spark):
     df = spark.createDataFrame([([float(v) for v in x[:16]],)], "v array<double>")
     d = series.idwt(series.dwt(df, "v", "w", series.D4, 3), "w", "back", series.D4, 3)
     assert np.allclose(d.first()["back"], x[:16])
+
+
+def test_fits_on_samples(spark, cloud):
+    x, df = cloud
+    bands = ["b1", "b2", "b3"]
+    vectors, variances = fits.leading_component(df, bands, 2)
+    values, want = np.linalg.eigh(np.cov(x.T))
+    assert np.allclose(variances, values[::-1][:2]) and np.allclose(np.abs((vectors * want[:, ::-1][:, :2]).sum(0)), 1)
+    train = df.withColumn("p", F.col("cls") == "a").withColumn("y", F.col("b1") + 2 * F.col("b2"))
+    assert fits.kernel_fisher(df, train, bands, "p", 0.1, 3.0).filter("pred = (cls = 'a')").count() >= 147
+    fit = fits.kernel_ridge(train, train, bands, "y", 1e-3, 5.0)
+    assert fit.agg(F.avg(F.abs(F.col("fit") - F.col("y")))).first()[0] < 0.2
+    axis = fits.spectral_regression(df, bands, "cls")[:, 0]
+    fisher = regress.discriminant_axes(df, bands, "cls")[0][:, 0]
+    assert abs(axis @ fisher) / np.linalg.norm(axis) / np.linalg.norm(fisher) > 0.999
+    noisy = df.withColumn("noise", F.pmod(F.col("id") * 7919, F.lit(101)) / 25.0)
+    weights = fits.relief_weights(noisy, ["b1", "noise"], "cls")
+    assert weights["b1"] > 0.9 > weights["noise"] and fits.eliminate_bands(noisy, ["b1", "noise", "b3"], "cls")[0] == "noise"
+    cells = fits.organizing_map(df, df, bands, 2, 500)
+    assert cells.groupBy("cell").agg(F.countDistinct("cls").alias("k")).agg(F.avg("k")).first()[0] < 1.5
+    out, angle = fits.iterated_pca(spark.createDataFrame([(float(v), float(v + (5 if i % 10 == 0 else 0))) for i, v in enumerate(np.random.default_rng(4).normal(0, 3, 400))], "a double, b double"), "a", "b")
+    assert abs(angle - 45) < 4
