@@ -26,7 +26,8 @@ from .common import stage
 
 SEED = 17
 EXPONENT = 0.5
-MAX_BROADCAST = 20_000
+#: Numbers in all sources' distributions (8 bytes each) up to which they are broadcast.
+MAX_BROADCAST = 1 << 20
 SALTS = 64
 #: Hash digits that make up the number in [0, 1): 13 hexadecimal digits, 52 bits.
 HEX = 13
@@ -54,10 +55,15 @@ def rates(docs: DataFrame, source: str = "source", text: str = "text", weights:
     return joined.select("source", rate.alias("rate"))
 
 
+def length_of(rate: Column) -> Column:
+    """Terms of the distribution that are held."""
+    return F.ceil(rate + 12 * F.sqrt(rate) + 40) + 1
+
+
 def distribution(rate: Column) -> Column:
     """P(X <= k) for k = 0, 1, ... far into the tail, as an array.  Terms are taken
     as exp(k ln(rate) - rate - ln(k!)), so that no rate is too large."""
-    last = F.ceil(rate + 12 * F.sqrt(rate) + 40).cast("int")
+    last = (length_of(rate) - 1).cast("int")
     step = F.aggregate(
         F.sequence(F.lit(0), last),
         F.struct(F.lit(0.0).alias("f"), F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("out")),
@@ -75,10 +81,10 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", source: str = "source", te
     """Every row as often as its draw says, in a random order; ``with_copy`` adds
     ``copy`` (0, 1, ...) and ``shuffle_key``."""
     table = stage(rates(docs, source, text, weights), "rates")  # one row a source; else its scan would run twice
-    n = table.count()
+    size = table.agg(F.sum(F.when(F.col("rate") > 0, length_of(F.col("rate"))).otherwise(1))).first()[0] or 0
     table = table.select("source", distribution(F.col("rate")).alias("cdf"))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{source}`").alias("of"), F.col(f"`{key}`").alias("id"))
-    if n <= MAX_BROADCAST:
+    if size <= MAX_BROADCAST:
         drawn = packed.join(F.broadcast(table), F.col("of").eqNullSafe(F.col("source")))
     else:
         salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
