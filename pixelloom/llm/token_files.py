@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import delete, new_path, stage
 from .secret_scan import encoding
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -120,8 +120,8 @@ def count_documents(spark: SparkSession, path: str, separator: int = SEPARATOR,
                     names=["file", "block", "piece", "n", "open", "head"],
                 )
 
-    # A block's pieces are a few numbers each; whoever reads them again reads the small table.
-    pieces = blocks.mapInArrow(run, "file string, block int, piece long, n long, open boolean, head array<int>")
+    # A block's pieces are a few numbers each; they are read three times, the files once.
+    pieces = stage(blocks.mapInArrow(run, "file string, block int, piece long, n long, open boolean, head array<int>"), "pieces")
     # Prefix scan: separators before each block, over one row a block.
     sums = pieces.groupBy("file", "block").agg(F.max("piece").alias("seps"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -138,6 +138,7 @@ def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", vocab
     """(doc_id, n_tokens) of whole texts, by way of flat token files."""
     path = write_token_files(docs, key, text, vocabulary)
     found = count_documents(docs.sparkSession, path)
+    delete(docs.sparkSession, path)  # its pieces are kept
     value = F.lit(0).cast("long")
     for j in range(DIGITS, 0, -1):  # wraps like two's complement only beyond the key range of a long
         value = value * F.lit(SEPARATOR).cast("long") + F.col("head")[j]
