@@ -12,7 +12,7 @@ from the lengths of the matches and of the pieces between them (``split`` by the
 pattern), all in code points.  The patterns are written with possessive quantifiers
 and anchors so that they take linear time on any text and no recursion in Java.
 
-The trees are fitted on the driver on at most ``max_labelled`` candidates of the table and
+The trees are fitted on the driver on at most ``max_labelled`` candidates of a sample and
 a fixed set of synthetic ones.  There are no hand-labelled spans.  A candidate of the base
 patterns counts as positive if the fixed validators accept it (octets, Luhn, digit counts,
 address form) and as negative otherwise; loose forms outside base spans, on which the
@@ -47,7 +47,7 @@ LOOSE = r"(?<![\w.+-])(?:[A-Za-z0-9._%+-]{1,64}\x20?[\[(]\x20?at\x20?[\])]\x20?[
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT = 24
 CONTEXT_WORDS = r"(?i)\b(?:tel|phone|call|fax|mobile|contact|mail|e-mail|email|address|ssn|account|iban|card|id|reach|write|dial|whatsapp|telefon|correo|courriel)\b"
-MAX_LABELLED = 20_000
+MAX_LABELLED, MAX_DOCUMENTS = 20_000, 20_000
 PRECISION = 0.995
 #: Synthetic loose candidates, trees and their depth.
 SYNTHETIC, TREES, DEPTH = 2400, 16, 3
@@ -152,10 +152,10 @@ def synthetic(n: int = SYNTHETIC, seed: int = 7) -> tuple[list[str], list[int]]:
     return texts, labels
 
 
-def fit(docs: DataFrame, text: str = "text", max_labelled: int = MAX_LABELLED, precision: float = PRECISION) -> tuple[GBT, float]:
+def fit(docs: DataFrame, text: str = "text", max_labelled: int = MAX_LABELLED, precision: float = PRECISION, key: str = "doc_id", max_documents: int = MAX_DOCUMENTS) -> tuple[GBT, float]:
     """Trees and threshold from the synthetic loose candidates and at most ``max_labelled``
-    candidates of the base patterns and the looser one, the ones with the least hashes
-    among the first 4 x that many.  A candidate of the table that overlaps no base span
+    candidates of the base patterns and the looser one: those with the least hashes, of about
+    ``max_documents`` documents drawn by a hash of key and text, in any partitioning.  A candidate of the table that overlaps no base span
     but has a loose form has no label there, so it is not trained on."""
     t = text_or_empty(F.col(f"`{text}`"))
     labelled = []
@@ -168,12 +168,14 @@ def fit(docs: DataFrame, text: str = "text", max_labelled: int = MAX_LABELLED, p
     for kind, (pattern, wanted) in raw.items():
         labelled.append(label(matches(F.col("t"), pattern, wanted), valid[kind]))
     labelled.append(label(matches(F.col("t"), LOOSE), F.concat(*valid.values())))
-    rows = docs.select(t.alias("t")).filter(F.col("t").rlike("[0-9@]"))
+    share = min(1.0, max_documents / max(1, docs.count()))
+    drawn = docs.filter(F.pmod(F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`"), F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    rows = drawn.select(t.alias("t")).filter(F.col("t").rlike("[0-9@]"))
     rows = rows.select("t", matches(F.col("t"), LOOSE).alias("loose"), F.concat(*labelled).alias("all"))
     free = lambda c: F.exists("loose", lambda v: (v["s"] < c["e"]) & (c["s"] < v["e"]))
-    rows = rows.select("t", F.explode(F.filter("all", lambda c: (c["y"] == 1) | ~free(c))).alias("c")).limit(4 * max_labelled)
-    rows = rows.select(_features(F.col("c")), F.col("c.y").alias("y"), F.xxhash64("c.m", "c.s").alias("h"))
-    rows = rows.orderBy("h").limit(max_labelled).collect()
+    rows = rows.select("t", F.explode(F.filter("all", lambda c: (c["y"] == 1) | ~free(c))).alias("c"))
+    rows = rows.select(_features(F.col("c")), F.col("c.y").alias("y"), F.xxhash64("c.m", "c.s", "t").alias("h"))
+    rows = rows.orderBy("h", "x", "y").limit(max_labelled).collect()
 
     texts, labels = synthetic()
     made = docs.sparkSession.range(1).select(F.posexplode(F.split(F.lit("\n".join(texts)), "\n")).alias("i", "t"))
@@ -181,7 +183,7 @@ def fit(docs: DataFrame, text: str = "text", max_labelled: int = MAX_LABELLED, p
 
     xs = np.array([r["x"] for r in [*rows, *made]], float)
     y = np.array([r["y"] for r in rows] + [labels[r["i"]] for r in made], float)
-    train = halves(np.concatenate([np.arange(len(rows)), [r["i"] for r in made]]))
+    train = halves(np.concatenate([np.array([r["h"] for r in rows], np.int64).view(np.uint64) >> np.uint64(8), np.array([r["i"] for r in made], np.uint64)]))
     gbt = GBT(trees=TREES, depth=DEPTH).fit(xs[train], y[train])
     # The model decides on loose candidates only, so the threshold is theirs.
     held = ~train & (np.arange(len(y)) >= len(rows))
