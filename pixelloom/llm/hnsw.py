@@ -17,7 +17,8 @@ are merged by a ranked window.
   below, by hash.  Building is linear in the number of shards.
 * Search is beam search from the top level down, for all queries of a block at once.
 
-Scores are inner products of the original vectors in double precision.
+Scores are inner products of the original vectors in double precision; single precision
+serves the walk through the graph alone.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
 components take no part; vectors of other dimensions are compared among themselves
@@ -184,12 +185,12 @@ def usable(vector):
 
 
 def _points(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    v = F.transform(F.col(f"`{vector}`"), lambda c: c.cast("float"))
+    v = F.transform(F.col(f"`{vector}`"), lambda c: c.cast("double"))
     return vectors.select(F.col(f"`{key}`").cast("long").alias("vec_id"), v.alias("v")).filter(F.col("vec_id").isNotNull() & usable(F.col("v")))
 
 
-def build_index(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 20, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, float]:
-    """One row per shard (dim, shard, index as binary), staged, and the largest norm."""
+def build_index(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 20, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, int]:
+    """One row per shard (dim, shard, index as binary), staged, and the number of shards."""
     points = _points(vectors, key, vector)
     size = points.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c)).alias("m")).first()
     largest = math.sqrt(size["m"]) if size["m"] else 1.0
@@ -201,10 +202,10 @@ def build_index(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddin
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("ids", key=lambda s: s.map(lambda a: a[0]))
-        raw = np.stack(frame["v"].to_numpy()).astype(np.float32)
+        raw = np.stack(frame["v"].to_numpy()).astype(float)
         lists = [np.asarray(a, np.int64) for a in frame["ids"]]
-        norm = (raw.astype(float) ** 2).sum(1)
-        x = np.column_stack([raw / largest, np.sqrt(np.maximum(0, 1 - norm / largest**2))]).astype(np.float32)
+        norm = ((raw / largest) ** 2).sum(1)
+        x = np.column_stack([raw / largest, np.sqrt(np.maximum(0, 1 - norm))]).astype(np.float32)
         levels = build(x)
         flat = {"raw": raw, "x": x, "ids": np.concatenate(lists), "at": np.cumsum([0] + [len(a) for a in lists])}
         for i, (members, near) in enumerate(levels):
@@ -212,7 +213,7 @@ def build_index(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddin
         return pd.DataFrame({"dim": [int(frame["dim"].iloc[0])], "shard": [int(frame["shard"].iloc[0])], "index": [_pack(flat)]})
 
     index = nodes.groupBy("dim", "shard").applyInPandas(one, "dim int, shard int, index binary")
-    return stage(index, "hnsw"), largest
+    return stage(index, "hnsw"), shards
 
 
 def _pack(arrays: dict[str, np.ndarray]) -> bytes:
@@ -233,13 +234,13 @@ def _unpack(data: bytes) -> dict[str, np.ndarray]:
 def nearest(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 20, beam: int = BEAM, shard_rows: int = SHARD_ROWS, block: int = BLOCK_QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest of ``vectors`` found for each row
     of ``queries``, without the row of the query's own id."""
-    index, largest = build_index(vectors, key, vector, k, shard_rows)
+    index, shards = build_index(vectors, key, vector, k, shard_rows)
     asked = _points(queries, key, vector).distinct()
     blocks = max(1, math.ceil(asked.count() / block))
     asked = asked.withColumn("dim", F.size("v")).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
     # Blocks of about ``block`` queries, once for each shard of their dimension.
     packed = asked.groupBy("dim", "block").agg(F.collect_list(F.struct("vec_id", "v")).alias("q"))
-    jobs = packed.join(index.select("dim", "shard"), "dim")
+    jobs = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     jobs = jobs.join(index, ["dim", "shard"]).select("dim", "shard", "q", "index")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,8 +253,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
                     levels = [(z[f"members{j}"], z[f"near{j}"]) for j in range(sum(n.startswith("near") for n in z))]
                 asks = batch.column(2)[i].as_py()
                 own = np.array([a["vec_id"] for a in asks], np.int64)
-                raw = np.array([a["v"] for a in asks], np.float32)
-                q = np.column_stack([raw, np.zeros(len(raw), np.float32)])
+                raw = np.array([a["v"] for a in asks], float)
+                length = np.abs(raw).max(1, keepdims=True)  # a query's length does not change its order
+                q = np.column_stack([raw / length, np.zeros(len(raw))]).astype(np.float32)
                 yield _merge(z, search(z["x"], levels, q, max(beam, k + 1), max(beam, k + 1)), own, raw, k)
 
     found = jobs.mapInArrow(run, "query_id long, vec_id long, score double")
@@ -265,7 +267,7 @@ def _merge(z, found, own, raw, k) -> pa.RecordBatch:
     """The block's candidates with exact scores, the ``k`` best of each query."""
     r, c = np.nonzero(found >= 0)
     node = found[r, c]
-    score = np.einsum("nd,nd->n", raw[r].astype(float), z["raw"][node].astype(float))
+    score = np.einsum("nd,nd->n", raw[r], z["raw"][node])
     n = (z["at"][node + 1] - z["at"][node]).astype(np.int64)
     total = int(n.sum())
     at = np.repeat(z["at"][node] - (np.cumsum(n) - n), n) + np.arange(total)
