@@ -72,7 +72,8 @@ def _document(key: str, text: str) -> list[Column]:
 
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     """o, d (the document), no (line number), words, for lines with words."""
-    rows = docs.select(*_document(key, text), F.posexplode(F.split(F.col(f"`{text}`"), "\n", -1)).alias("no", "line"))
+    whole = docs.select(*_document(key, text), F.col(f"`{text}`").alias("t"))  # below the generator: once a document
+    rows = whole.select("o", "d", F.posexplode(F.split("t", "\n", -1)).alias("no", "line"))
     return rows.select("o", "d", "no", line_words(F.col("line")).alias("words")).filter(F.size("words") > 0)
 
 
@@ -109,7 +110,7 @@ def _near(docs: DataFrame, distinct: DataFrame, key: str, text: str) -> DataFram
     wanted = stage(places.groupBy(F.col("place.o").alias("o"), F.col("place.d").alias("d")).agg(F.collect_list("place.no").alias("nos")), "wanted")  # a document's own lines
     texts = docs.select(*_document(key, text), F.col(f"`{text}`").alias("t"))
     # The lines that meet, once each (rows may repeat), with their words.
-    lines = texts.join(wanted, ["o", "d"]).select("o", "d", F.split("t", "\n", -1).alias("lines"), "nos")
+    lines = texts.join(wanted.hint("merge"), ["o", "d"]).select("o", "d", F.split("t", "\n", -1).alias("lines"), "nos")
     lines = lines.select("o", "d", F.explode(F.transform("nos", lambda i: F.struct(i.alias("no"), F.get("lines", i).alias("line")))).alias("x")).select("o", "d", "x.no", "x.line")
     lines = lines.select(F.struct("o", "d", "no").alias("place"), line_words(F.col("line")).alias("w")).filter(F.size("w") >= MIN_WORDS)
     lines = stage(lines.groupBy(F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(1), F.col("w"), F.lit(2)).alias("h2")).agg(F.min_by("w", "place").alias("w"), F.min("place").alias("place")).select("place", "w"), "near-lines")
@@ -181,7 +182,7 @@ def dedup_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     unstage(near)
     t = F.col(f"`{text}`")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), t.alias("t"), *_document(key, text))
-    rows = rows.join(kept, ["o", "d"], "left").select("row", "t", F.coalesce("stay", F.array().cast("array<int>")).alias("stay"), F.split("t", "\n", -1).alias("lines"))
+    rows = rows.join(kept.hint("merge"), ["o", "d"], "left").select("row", "t", F.coalesce("stay", F.array().cast("array<int>")).alias("stay"), F.split("t", "\n", -1).alias("lines"))
     worded = F.transform("lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     rows = rows.withColumn("worded", worded)
     blank = F.filter(F.transform("worded", lambda x, i: F.when(~x, i)), lambda i: i.isNotNull())

@@ -161,6 +161,29 @@ def test_tokens(spark, odd):
     assert small == sum(n for _, n in want) + token_files.HEADER * len(want)
 
 
+def test_token_files_of_four_bytes_and_without_a_last_separator(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    want = {}
+    for f in range(3):
+        ids = rng.integers(1, 30, 500).astype("<u4")
+        ids[-1] = 5 if f else 7  # 7 separates
+        (tmp_path / f"part-{f}").write_bytes(ids.tobytes())
+        runs = "".join("x" if i != 7 else "," for i in ids).split(",")
+        want[f"part-{f}"] = [len(r) for r in (runs if ids[-1] != 7 else runs[:-1])]
+    (tmp_path / "part-9").write_bytes(b"")
+    for block in (13, 10_000):
+        got = {}
+        for r in token_files.count_documents(spark, f"file://{tmp_path}", 7, 4, block, 2).orderBy("file", "document").collect():
+            got.setdefault(r["file"].rsplit("/", 1)[1], []).append(r["n_ids"])
+        assert got == want
+
+
+def test_mixing_is_the_same_without_a_broadcast(spark, odd, monkeypatch):
+    a = table(mixing.mix_sources(odd, with_copy=True))
+    monkeypatch.setattr(mixing, "MAX_BROADCAST", 0)
+    assert table(mixing.mix_sources(odd, with_copy=True)) == a
+
+
 def test_pieces_are_lossless_reproducible_and_sampled(spark, odd):
     a, b = table(pieces.encode_documents(odd)), table(pieces.encode_documents(odd.repartition(3)))
     assert a == b and all(r["lossless"] for r in pieces.encode_documents(odd).collect())
@@ -375,11 +398,136 @@ def test_neighbours(spark):
     assert hit >= 0.9 * 20 * len(by)
 
 
+def test_neighbours_in_double_precision_and_clashing_columns(spark):
+    data = [(1, [1.0, 2.0000000004], 9, "x"), (2, [1.2, 1.0], 9, "x"), (3, [1e200, 1.0], 9, "x"), (20, [1.0, 1.0], 9, "x")]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, rank int, score string")
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in hnsw.nearest(df, df.filter("vec_id % 20 = 0")).collect()}
+    assert got == {(20, 3): 1e200, (20, 1): 1.0 + 2.0000000004, (20, 2): 2.2}
+    assert hnsw.nearest(df.limit(0), df.limit(0)).count() == 0
+
+
 def test_pipeline(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    for name, f in corpus_pipeline.STAGES[:-1]:
-        docs = f(spark, docs, SF)
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
     out = corpus_pipeline.run(spark, SF)
-    assert out.count() > 50 and out.filter("not lossless").count() == 0
+    assert out.count() > 50 and out.filter("not lossless").count() == 0 and docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+# ------------------------------------------------------------- the pipeline, stage by stage
+
+
+def brute_quality(rows):
+    def bad(t):
+        w = words(t)
+        n = len(w)
+        seen = {}
+        for i in range(n - 4):
+            seen.setdefault(tuple(w[i : i + 5]), []).append(i)
+        covered = {j for at in seen.values() if len(at) > 1 for i in at for j in range(i, i + 5)}
+        lines = [x for x in t.split("\n") if words(x)]
+        return (
+            n < 10 or 100 * len(covered) > 20 * n or not 2 * n <= sum(map(len, w)) <= 15 * n or 10 * len(re.findall("[#*$%&|<>]", t)) > n
+            or 10 * (len(lines) - len(set(lines))) > 3 * len(t.split("\n")) or 2 * len(re.findall("[!?]", t)) > n or 10 * sum(any(c.isalpha() for c in x) for x in w) < 7 * n
+        )
+
+    return [r for r in rows if not bad(r["text"] or "")]
+
+
+def within_one(a, b):
+    if a == b:
+        return True
+    if min(len(a), len(b)) < line_dedup.MIN_WORDS or abs(len(a) - len(b)) > 1:
+        return False
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    long, short = (a, b) if len(a) > len(b) else (b, a)
+    return any(long[:i] + long[i + 1 :] == short for i in range(len(long)))
+
+
+def brute_lines(rows):
+    """Earlier: smaller key (null last), then digest of the text, then line."""
+    place = lambda r: (line_dedup.LAST if r["doc_id"] is None else r["doc_id"], int(hashlib.md5((r["text"] or "").encode()).hexdigest()[:15], 16))
+    first = {}
+    for r in rows:
+        for no, line in enumerate((r["text"] or "").split("\n")) if r["text"] is not None else ():
+            w = tuple(words(line))
+            if w:
+                first[w] = min(first.get(w, ((1 << 70, 0), 0)), (place(r), no))
+    stay = {(w, at) for w, at in first.items() if not any(at2 < at and w2 != w and within_one(list(w), list(w2)) for w2, at2 in first.items())}
+    out = []
+    for r in rows:
+        if r["text"] is None:
+            out.append(r)
+            continue
+        lines = r["text"].split("\n")
+        left = [x for no, x in enumerate(lines) if not words(x) or (tuple(words(x)), (place(r), no)) in stay]
+        if any(words(x) for x in left) or not any(words(x) for x in lines):
+            out.append({**r, "text": "\n".join(left)})
+    return out
+
+
+def brute_documents(rows):
+    def shingles(t):
+        w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+    sets = [shingles(r["text"]) for r in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                label = [label[j] if x == label[i] else x for x in label]
+    least = {}
+    for r, x in zip(rows, label):
+        if r["doc_id"] is not None:
+            least[x] = min(least.get(x, r["doc_id"]), r["doc_id"])
+    return [r for r, x in zip(rows, label) if r["doc_id"] is None or r["doc_id"] == least[x]]
+
+
+def brute_mixing(rows):
+    chars = {}
+    for r in rows:
+        chars[r["source"]] = chars.get(r["source"], 0) + len(r["text"] or "")
+    weight = {s: c**0.5 for s, c in chars.items()}
+    out = []
+    for r in rows:
+        c = chars[r["source"]]
+        rate = weight[r["source"]] / sum(weight.values()) * sum(chars.values()) / c if c else 0.0
+        u = int(hashlib.md5(f"{mixing.SEED}:{'-' if r['doc_id'] is None else r['doc_id']}".encode()).hexdigest()[:13], 16) / 16.0**13
+        n, total, term, k = 0, 0.0, np.exp(-rate), 0
+        while rate > 0 and k < 60:
+            total += term
+            n += total <= u
+            k += 1
+            term *= rate / k
+        out += [r] * n
+    return out
+
+
+def corpus_rows():
+    rng = np.random.default_rng(10)
+    vocabulary = [f"{a}{b}{c}" for a in "bdfgk" for b in ("ar", "el", "in", "os") for c in ("tan", "mo", "rel", "vi", "sun")]
+    rows = []
+    for i in range(90):
+        lines = [" ".join(rng.choice(vocabulary, int(rng.integers(6, 30)))) for _ in range(int(rng.integers(1, 5)))]
+        rows.append({"doc_id": i, "text": "\n".join(lines), "lang": "en", "source": f"s{i % 3 if i % 2 else 0}", "n_chars": 0})
+    for i in range(30):  # copies, near copies, shared lines, junk
+        w = rows[i]["text"].split(" ")
+        w[len(w) // 2] = "edited"
+        text = [rows[i]["text"], " ".join(w), rows[i]["text"] + "\n" + rows[i + 1]["text"], "$ # | % " * 8, "word " * 40][i % 5]
+        rows.append({"doc_id": 100 + i, "text": text, "lang": "en", "source": "s1", "n_chars": 0})
+    rows += [dict(rows[3]), {**rows[4], "doc_id": None}, {**rows[5], "text": None, "doc_id": 300}, {**rows[5], "text": "", "doc_id": 301}, {**rows[6], "doc_id": 7}]
+    return rows
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rows = corpus_rows()
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([tuple(r.values()) for r in rows], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    for f in (brute_quality, brute_lines, brute_documents, brute_mixing):
+        rows = f(rows)
+    got = [(r["doc_id"], pieces.decode(np.array(r["ids"], np.int32))) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert sorted(map(repr, got)) == sorted(repr((r["doc_id"], r["text"] or "")) for r in rows) and len(got) > 40
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
