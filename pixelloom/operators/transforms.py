@@ -115,7 +115,7 @@ def kernel_rx(df: DataFrame, sample: DataFrame, bands: list[str], n_scale: float
 
     def score(y: np.ndarray) -> np.ndarray:
         z = centred(kernel(y, x, sigma=sigma), k)
-        return np.einsum("ij,jk,ik->i", z, inverse, z)[:, None]
+        return ((z @ inverse) * z).sum(1, keepdims=True)
 
     return _scored(df, bands, ["krx"], score)
 
