@@ -7,6 +7,11 @@ and read again as the next stage's ``docs``.  All but the last give the columns
 of earlier ones go, and with them documents that lose all their lines; of each group of
 near-duplicate documents the one with the least key stays; the others are replicated by
 their sources' target weights; the last stage gives each copy's pieces.
+
+Defined results: documents without ten words, null texts among them, go in the first stage; null
+and repeated keys are told apart by their texts in line dedup, and each row is judged by itself in
+the document stage (a null key always stays); an empty table gives an empty result; columns
+besides the documents' own pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pixelloom.llm import jaccard, line_dedup, mixing, pieces, quality
-from pixelloom.llm.common import stage, table
+from pixelloom.llm.common import stage, table, unstage
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,12 +50,15 @@ STAGES = [
     ("sentencepiece_encoding", encode_pieces),
 ]
 
-#: Sampled segmentations are not SQL; the test compares with a brute-force version.
+#: Sampled segmentations are not SQL; a test compares the rows with a brute-force version of each
+#: stage, on a small table with copies, near copies, junk, null and repeated keys and texts.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, f in STAGES[:-1]:
-        docs = stage(f(spark, docs, sf_dir), name)
+        after = stage(f(spark, docs, sf_dir), name)
+        unstage(docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
