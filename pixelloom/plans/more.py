@@ -64,7 +64,7 @@ def omnibus_conjunction_maps(spark, sf):
     return _maps(spark, sf).withColumn("bmap", F.array_join(F.transform("bmap", lambda x: x.cast("string")), ","))
 
 
-@query(f"WITH RECURSIVE {_MAPS}, u AS (SELECT unnest(range(1, {_K})) AS interval, unnest(bmap) AS b FROM maps) SELECT interval, sum(b // 255)::BIGINT AS n FROM u GROUP BY interval")
+@query(f"WITH RECURSIVE {_MAPS}, u AS (SELECT unnest(range(1, {_K})) AS interval, unnest(bmap) AS b FROM maps) SELECT interval::INTEGER AS interval, sum(b // 255)::BIGINT AS n FROM u GROUP BY 1")
 def changes_per_interval(spark, sf):
     return change.changes_per_interval(_maps(spark, sf))
 
@@ -349,7 +349,7 @@ def pca_reconstruction(spark, sf):
     "d AS (SELECT c.a - (l.a + u.a) / 2 AS a, c.b - (l.b + u.b) / 2 AS b FROM g c JOIN g l ON l.y = c.y AND l.x = CASE WHEN c.x = 1 THEN 40 ELSE c.x - 1 END JOIN g u ON u.x = c.x AND u.y = CASE WHEN c.y = 5 THEN 44 ELSE c.y - 1 END), "
     "n AS (SELECT sum(a * a) / (2 * (count(*) - 1)) AS n11, sum(b * b) / (2 * (count(*) - 1)) AS n22, sum(a * b) / (2 * (count(*) - 1)) AS n12 FROM d), "
     "q AS (SELECT s11 * s22 - s12 * s12 AS qa, -(n11 * s22 + n22 * s11 - 2 * n12 * s12) AS qb, n11 * n22 - n12 * n12 AS qc FROM s, n), l AS (SELECT (-qb - sqrt(qb * qb - 4 * qa * qc)) / (2 * qa) AS l1, (-qb + sqrt(qb * qb - 4 * qa * qc)) / (2 * qa) AS l2 FROM q) "
-    f"SELECT {R('l1', 'lambda1')}, {R('l2', 'lambda2')}, {R('1 / l1 - 1', 'snr1')}, {R('1 / l2 - 1', 'snr2')}, 1.0 AS var1 FROM l"
+    f"SELECT {R('l1', 'lambda1')}, {R('l2', 'lambda2')}, {R('1 / l1 - 1', 'snr1')}, {R('1 / l2 - 1', 'snr2')}, 1.0::DOUBLE AS var1 FROM l"
 )
 def noise_fractions(spark, sf):
     g = A.grid(spark, sf).filter("x between 1 and 40 and y between 5 and 44").select((F.col("x") - 1).alias("x"), (F.col("y") - 5).alias("y"), F.col("b1").alias("a"), (F.col("b3") * 100).alias("b"))
@@ -745,7 +745,7 @@ def padded_series(spark, sf):
 _NUM = "nm AS (SELECT s, v, row_number() OVER (PARTITION BY s ORDER BY d) - 1 AS i FROM signal)"
 
 
-@query(f"WITH {A.SIGNAL}, {_NUM}, t AS (SELECT s, f, sum(v * cos(-2 * pi() * f * i / 24)) AS re, sum(v * sin(-2 * pi() * f * i / 24)) AS im FROM nm, range(0, 13) g(f) WHERE i < 24 GROUP BY s, f) SELECT s, f, {R('re * re + im * im', 'power', 3)} FROM t")
+@query(f"WITH {A.SIGNAL}, {_NUM}, t AS (SELECT s, f, sum(v * cos(-2 * pi() * f * i / 24)) AS re, sum(v * sin(-2 * pi() * f * i / 24)) AS im FROM nm, range(0, 13) g(f) WHERE i < 24 GROUP BY s, f) SELECT s, f::INTEGER AS f, {R('re * re + im * im', 'power', 3)} FROM t")
 def power_spectrum(spark, sf):
     n = A.signal(spark, sf).withColumn("i", F.row_number().over(Window.partitionBy("s").orderBy("d")) - 1).filter("i < 24")
     return rnd(series.power_spectrum(n, "s", "i", "v", 24), 3)
