@@ -201,6 +201,43 @@ def test_piece_frequencies_follow_the_lattice():
     assert abs(single - w["the"] / z) < 0.03
 
 
+def test_sampled_segmentations_follow_brute_force():
+    """Whole segmentations of words, against the product of their pieces' weights."""
+    lat = pieces.lattice(pieces.MODEL, pieces.ALPHA)
+
+    def cuts(w):
+        return [[w]] * (w in lat.piece) + [[w[:i], *rest] for i in range(1, len(w)) if w[:i] in lat.piece for rest in cuts(w[i:])]
+
+    n = 3000
+    for word in ("the", "and", "ther", "ing"):
+        every = cuts(word)
+        weight = np.array([np.prod([lat.piece[x][0] for x in c]) for c in every])
+        found = {}
+        for ids in pieces.encode([word] * n, list(range(n))):
+            found[len(ids)] = found.get(len(ids), 0) + 1 / n
+        want = {}
+        for c, v in zip(every, weight / weight.sum()):
+            want[len(c)] = want.get(len(c), 0.0) + v
+        assert sum(abs(found.get(k, 0) - want.get(k, 0)) for k in {*found, *want}) / 2 < 0.05, word
+
+
+def test_all_spans(spark, docs):
+    """Base spans stay among all spans, in order; what the methods add is what they promise."""
+    enc = secret_scan.encoding(secret_scan.VOCABULARY)
+    text = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for r in secret_scan.secret_scan(docs).collect():
+        got = [x.split(":") for x in r["spans"].split(",") if x]
+        base = [f"{k}:{s}:{e}" for k, s, e in base_secrets(text[r["doc_id"]])]
+        assert [":".join(x) for x in got if x[0] != "random"] == base and sum(x[0] == "random" for x in got) == r["n_random"]
+        for _, a, b in (x for x in got if x[0] == "random"):
+            run = text[r["doc_id"]][int(a) : int(b)]
+            assert len(run) >= 16 and len(run) / len(enc.encode_ordinary(run)) <= 1.8
+    for r in pii.personal_data(docs, pii.fit(docs)).collect():
+        got = [x for x in r["spans"].split(",") if x]
+        base = [f"{k}:{s}:{e}" for k, s, e in base_pii(text[r["doc_id"]])]
+        assert [x for x in got if not x.startswith("other:")] == base and len(got) - len(base) == r["n_other"]
+
+
 def words(t):
     return [w for w in re.split(r"[\x20\x09-\x0D]+", t or "") if w]
 
