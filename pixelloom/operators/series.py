@@ -165,6 +165,13 @@ def uwt_step(x: Column, h: tuple[float, ...], level: int) -> tuple[Column, Colum
     return part(h), part(detail_filter(h))
 
 
+def iuwt_step(s: Column, d: Column, h: tuple[float, ...], level: int) -> Column:
+    """The array whose stationary parts at ``level`` these are."""
+    step, g = 2 ** (level - 1), detail_filter(h)
+    half = lambda f: tuple(c / math.sqrt(2) for c in f)
+    return F.transform(s, lambda _, t: _tap(s, half(h), lambda i: t + step * i) + _tap(d, half(g), lambda i: t + step * i))
+
+
 def pad(x: Column, method: str) -> Column:
     """The array up to the next power of two, at its end: reflection, periodic or zeros."""
     n = F.size(x)

@@ -825,3 +825,52 @@ def kernel_ridge(spark, sf):
 @query()
 def organizing_map(spark, sf):
     return fits.organizing_map(_px(spark, sf), _landmarks(spark, sf, 500), ["a", "b"], 3).groupBy("cell").agg(F.count("*").alias("n"))
+
+
+_M2K = "m AS (SELECT avg(b1) AS m1, avg(b3) AS m3, var_samp(b1) AS s11, var_samp(b3 * 100) AS s33, covar_samp(b1, b3 * 100) AS s13 FROM pixels)"
+
+
+@query(f"WITH {A.PIXELS}, {_M2K} SELECT {R('(s11 + s33 + sqrt((s11 - s33) ** 2 + 4 * s13 * s13)) / 2', 'first', 4)}, {R('(s11 + s33 - sqrt((s11 - s33) ** 2 + 4 * s13 * s13)) / 2', 'second', 4)} FROM m")
+def leading_components(spark, sf):
+    px = A.pixels(spark, sf).select("b1", (F.col("b3") * 100).alias("b3"))
+    _, v = fits.leading_component(px, ["b1", "b3"], 2)
+    return rnd(spark.createDataFrame([tuple(map(float, v))], "first double, second double"), 4)
+
+
+_SCATTER = (
+    "t AS (SELECT var_pop(b1) * count(*) AS t11, var_pop(b3) * count(*) AS t33, covar_pop(b1, b3) * count(*) AS t13 FROM pixels), c AS (SELECT cls, var_pop(b1) * count(*) AS w11, var_pop(b3) * count(*) AS w33, covar_pop(b1, b3) * count(*) AS w13 FROM pixels GROUP BY cls), "
+    "b AS (SELECT t11, t33, t13, t11 - sum(w11) AS b11, t33 - sum(w33) AS b33, t13 - sum(w13) AS b13 FROM t, c GROUP BY 1, 2, 3), q AS (SELECT t11 * t33 - t13 * t13 AS qa, -(b11 * t33 + b33 * t11 - 2 * b13 * t13) AS qb, b11 * b33 - b13 * b13 AS qc FROM b)"
+)
+
+
+@query(f"WITH {A.PIXELS}, {_SCATTER} SELECT {R('(-qb + sqrt(qb * qb - 4 * qa * qc)) / (2 * qa)', 'first', 8)}, {R('(-qb - sqrt(qb * qb - 4 * qa * qc)) / (2 * qa)', 'second', 8)} FROM q")
+def discriminant_shares(spark, sf):
+    _, share = regress.discriminant_axes(A.pixels(spark, sf), ["b1", "b3"], "cls")
+    return rnd(spark.createDataFrame([tuple(map(float, share))], "first double, second double"), 8)
+
+
+@query(
+    f"WITH {A.PIXELS}, c AS (SELECT cls, avg(b1) AS m1, avg(b3) AS m3, var_samp(b1) AS s11, var_samp(b3) AS s33, covar_samp(b1, b3) AS s13 FROM pixels GROUP BY cls), p AS (SELECT a.cls AS c1, b.cls AS c2, a.m1 - b.m1 AS d1, a.m3 - b.m3 AS d3, (a.s11 + b.s11) / 2 AS s11, (a.s33 + b.s33) / 2 AS s33, (a.s13 + b.s13) / 2 AS s13, (a.s11 * a.s33 - a.s13 * a.s13) * (b.s11 * b.s33 - b.s13 * b.s13) AS dd FROM c a JOIN c b ON a.cls < b.cls), "
+    "h AS (SELECT c1, c2, (s33 * d1 * d1 - 2 * s13 * d1 * d3 + s11 * d3 * d3) / (s11 * s33 - s13 * s13) / 8 + 0.5 * ln((s11 * s33 - s13 * s13) / sqrt(dd)) AS b FROM p) "
+    f"SELECT c1, c2, {R('b', 'bhattacharyya', 8)}, {R('2 * (1 - exp(-b))', 'jm', 8)} FROM h"
+)
+def separability_two_band(spark, sf):
+    return rnd(moments.separability(A.pixels(spark, sf), ["b1", "b3"], "cls"), 8)
+
+
+@query(
+    f"WITH {A.PIXELS}, n AS (SELECT var_samp(b1) AS a, var_samp(b3) AS b, covar_samp(b1, b3) AS c, covar_samp(b1, b4) AS x, covar_samp(b3, b4) AS y, avg(b1) AS m1, avg(b3) AS m3, avg(b4) AS my FROM pixels), s AS (SELECT *, (b * x - c * y) / (a * b - c * c) AS p, (a * y - c * x) / (a * b - c * c) AS q FROM n) "
+    "SELECT 'b1' AS name, round(p, 8) + 0.0 AS beta FROM s UNION ALL SELECT 'b3', round(q, 8) + 0.0 FROM s UNION ALL SELECT 'intercept', round(my - p * m1 - q * m3, 8) + 0.0 FROM s"
+)
+def least_squares_any_bands(spark, sf):
+    return rnd(regress.least_squares(A.pixels(spark, sf), ["b1", "b3"], "b4"), 8)
+
+
+@query(f"WITH {A.SIGNAL}, {_SER} SELECT s, {_out('v', 'back')} FROM ser")
+def stationary_round_trip(spark, sf):
+    d = _series16(spark, sf)
+    s1, d1 = series.uwt_step(F.col("v"), series.D4, 1)
+    d = d.select("s", s1.alias("s1"), d1.alias("d1"))
+    s2, d2 = series.uwt_step(F.col("s1"), series.D4, 2)
+    d = d.select("s", "d1", s2.alias("s2"), d2.alias("d2")).select("s", "d1", series.iuwt_step(F.col("s2"), F.col("d2"), series.D4, 2).alias("s1"))
+    return d.select("s", series.iuwt_step(F.col("s1"), F.col("d1"), series.D4, 1).alias("v")).select("s", _text("v", "back"))
