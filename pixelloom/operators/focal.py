@@ -79,9 +79,10 @@ def median_reflected(grid: DataFrame, band: str, width: int, height: int) -> Dat
 
 
 def four_mean(grid: DataFrame, columns: list[str], width: int, height: int) -> DataFrame:
-    """The mean of the four neighbours, of whole images."""
-    n = reflected(grid, FOUR, columns, width, height)
-    return n.groupBy("x", "y").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in columns])
+    """The mean of the four neighbours, of whole images; where cells are missing, they count 0
+    and get no value."""
+    n = reflected(grid, FOUR | {(0, 0): 0.0}, columns, width, height)
+    return n.groupBy("x", "y").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in columns], F.max("own").alias("own_")).filter("own_").drop("own_")
 
 
 def relax_labels(grid: DataFrame, probabilities: list[str], width: int, height: int, rounds: int = 1) -> DataFrame:
