@@ -685,7 +685,9 @@ def wavelet_quadrants(spark, sf):
 
 @query(f"WITH {A.GRID}, {_SQ} SELECT x - 1 AS x, y - 5 AS y, {R('v', 'v')} FROM w")
 def wavelet_round_trip(spark, sf):
-    return rnd(focal.idwt2(focal.dwt2(_square(spark, sf), series.D4, "v", 40, 40), series.D4, 40, 40))
+    cells = _square(spark, sf)
+    back = focal.idwt2(focal.dwt2(cells, series.D4, "v", 40, 40), series.D4, 40, 40)
+    return rnd(back.join(cells.select("x", "y"), ["x", "y"], "left_semi"))
 
 
 @query(
