@@ -40,9 +40,9 @@ def median_3x3(grid: DataFrame, band: str) -> DataFrame:
 
 
 def neighbour_mean(grid: DataFrame, band: str) -> DataFrame:
-    """Mean of the four neighbours there are."""
+    """Mean of the four neighbours there are; cells without any are left out."""
     four = {(1, 0): 1.0, (-1, 0): 1.0, (0, 1): 1.0, (0, -1): 1.0}
-    n = neighbours(grid, four | {(0, 0): 0.0}, band).groupBy("x", "y").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("v"), F.max("own").alias("own"))
+    n = neighbours(grid, four | {(0, 0): 0.0}, band).groupBy("x", "y").agg(F.try_divide(F.sum(F.col("v") * F.col("w")), F.sum("w")).alias("v"), F.max("own").alias("own"))
     return n.filter("own and v is not null").select("x", "y", "v")
 
 

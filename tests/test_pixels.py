@@ -80,6 +80,11 @@ def test_series_paths(spark):
     assert math.isclose(cost, c[12, 12]) and math.isclose(cost, d[px, py].sum())
 
 
+def test_neighbour_mean_of_a_lone_cell(spark):
+    df = spark.createDataFrame([(0, 0, 1.0), (1, 0, 3.0), (9, 9, 5.0)], "x long, y long, v double")
+    assert sorted(map(tuple, focal.neighbour_mean(df, "v").collect())) == [(0, 0, 3.0), (1, 0, 1.0)]
+
+
 def test_binary_metrics_and_auc(spark):
     t, p = [1, 1, 1, -1, 1, -1, -1, -1], [2.3, -0.4, 1.6, 0.6, 3.2, -4.9, 1.3, -0.3]
     df = spark.createDataFrame(list(zip(t, p)), "t int, p double")
