@@ -67,10 +67,13 @@ def binary_metrics(df: DataFrame, truth: Column, pred: Column) -> DataFrame:
     c = F.col
     part = lambda x, y: F.when(y == 0, 0.0).otherwise(x / y)
     tp, fn, fp, tn = c("tp"), c("fn"), c("fp"), c("tn")
-    den = F.sqrt((tp + fn) * (tp + fp) * (tn + fp) * (tn + fn) * 1.0)
+    # Products of counts leave 64 bits: of four margins from about 55,000 rows each on.
+    den = F.sqrt((tp + fn).cast("double") * (tp + fp) * (tn + fp) * (tn + fn))
+    wide = lambda x: x.cast("decimal(19,0)")
+    num = (wide(tp) * wide(tn) - wide(fp) * wide(fn)).cast("double")
     return t.select(
-        F.try_divide(fn + fp, tp + fn + fp + tn).alias("error"), F.try_divide(tp + tn, tp + fn + fp + tn).alias("accuracy"), part(fn, tp + fn).alias("error_p"), part(fp, tn + fp).alias("error_n"),
-        part(tp, tp + fn).alias("sensitivity"), part(tn, tn + fp).alias("specificity"), part(tp, tp + fp).alias("ppv"), part(tn, tn + fn).alias("npv"), ((tp * tn - fp * fn) / F.when(den == 0, 1.0).otherwise(den)).alias("mcc"),
+        part(fn + fp, tp + fn + fp + tn).alias("error"), part(tp + tn, tp + fn + fp + tn).alias("accuracy"), part(fn, tp + fn).alias("error_p"), part(fp, tn + fp).alias("error_n"),
+        part(tp, tp + fn).alias("sensitivity"), part(tn, tn + fp).alias("specificity"), part(tp, tp + fp).alias("ppv"), part(tn, tn + fn).alias("npv"), (num / F.when(den == 0, 1.0).otherwise(den)).alias("mcc"),
     )
 
 

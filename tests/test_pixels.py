@@ -94,6 +94,14 @@ def test_binary_metrics_and_auc(spark):
     assert metrics.auc(df, F.col("t") == 1, F.col("p")).first()["auc"] == 0.8125
 
 
+def test_binary_metrics_of_many_rows_and_of_none(spark):
+    df = spark.range(400_000).select((F.col("id") % 2 == 0).alias("t"), (F.col("id") % 4 < 3).alias("p"))
+    r = metrics.binary_metrics(df, F.col("t"), F.col("p")).first()
+    assert (r["error"], r["sensitivity"], r["specificity"]) == (0.25, 1.0, 0.5) and math.isclose(r["mcc"], 1 / math.sqrt(3))
+    r = metrics.binary_metrics(df.limit(0), F.col("t"), F.col("p")).first()
+    assert r["error"] == r["accuracy"] == r["ppv"] == r["mcc"] == 0
+
+
 def test_ranked_lists(spark):
     lists = [[2, 4, 1, 3, 0], [3, 4, 1, 2, 0], [2, 4, 3, 0, 1]]
     df = spark.createDataFrame([(i, p, v) for i, l in enumerate(lists) for p, v in enumerate(l)], "list_id int, pos int, id int")
