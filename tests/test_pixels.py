@@ -420,6 +420,21 @@ def test_files(spark, tmp_path):
     assert inside == want and shapes.first()["class_id"] == 2 and shapes.first()["class_name"] == "water"
 
 
+@pytest.mark.parametrize("name, f, places", [("gamma_map_filter", radar.gamma_map, 4)])
+def test_filters_of_equal_edges_and_even_windows(spark, name, f, places):
+    cells = np.random.default_rng(5).integers(1, 4, (50, 50)) / 3
+    cells[:20] = np.repeat(np.arange(1, 6), 10) / 7
+    rows = [(x + 20, y + 10, float(cells[y, x])) for x in range(50) for y in range(50)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE grid (x BIGINT, y BIGINT, b1 DOUBLE)")
+    con.executemany("INSERT INTO grid VALUES (?, ?, ?)", rows)
+    want = con.sql(registry.SQL[name].replace(registry.A.GRID + ", ", "")).fetchall()
+    image = spark.createDataFrame([(x, y, v + 1) for x, y, v in rows], "x long, y long, v double")
+    got = registry.rnd(f(image, ["v"], 4.0), places).collect()
+    assert len(got) == len(want) == 2500
+    assert [(tuple(g), w) for g, w in zip(sorted(got), sorted(want)) if not math.isclose(g[2], w[2], abs_tol=2e-4)] == []
+
+
 def test_wavelet_of_a_pure_tone(spark):
     x = np.sin(2 * np.pi * np.arange(128) / 8)
     power = np.abs(series.cwt(x, 1.0, np.array([2.0, 8.0 / 1.033, 30.0])))[:, 40:90].mean(1)
