@@ -420,7 +420,7 @@ def test_files(spark, tmp_path):
     assert inside == want and shapes.first()["class_id"] == 2 and shapes.first()["class_name"] == "water"
 
 
-@pytest.mark.parametrize("name, f, places", [("gamma_map_filter", radar.gamma_map, 4)])
+@pytest.mark.parametrize("name, f, places", [("gamma_map_filter", radar.gamma_map, 4), ("mmse_filter", radar.mmse, 6)])
 def test_filters_of_equal_edges_and_even_windows(spark, name, f, places):
     cells = np.random.default_rng(5).integers(1, 4, (50, 50)) / 3
     cells[:20] = np.repeat(np.arange(1, 6), 10) / 7
