@@ -420,6 +420,29 @@ def test_files(spark, tmp_path):
     assert inside == want and shapes.first()["class_id"] == 2 and shapes.first()["class_name"] == "water"
 
 
+@pytest.mark.parametrize("name", ["image_algebra"])
+def test_means_in_the_order_of_the_files(spark, tmp_path, name):
+    """Means of 0.05 in truth, whose last digits hang on the order of the sum."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for x in range(200):
+        half = rng.integers(0, 6, 8)
+        hundredths = np.concatenate([half, 10 - half])
+        rows += [(i, x, 25.0, float(d) / 100, float(t) / 100) for i, (d, t) in enumerate(zip(rng.permutation(hundredths), rng.permutation(hundredths)))]
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    con.execute("CREATE TABLE t (i INT, x BIGINT, q DOUBLE, d DOUBLE, t DOUBLE)")
+    con.executemany("INSERT INTO t VALUES (?, ?, ?, ?, ?)", rows)
+    (tmp_path / "lineitem.parquet").mkdir()
+    for part, where in enumerate(("i < 2", "i BETWEEN 2 AND 7", "i BETWEEN 8 AND 10", "i > 10")):
+        con.execute(f"COPY (SELECT x AS l_suppkey, TIMESTAMP '1996-02-03' AS l_shipdate, q AS l_quantity, q AS l_extendedprice, d AS l_discount, t AS l_tax FROM t WHERE {where} ORDER BY x, i) TO '{tmp_path}/lineitem.parquet/part-{part}.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    rel = con.sql(registry.SQL[name])
+    got, want = registry.QUERIES[name](spark, str(tmp_path)).select(*rel.columns).collect(), rel.fetchall()
+    assert len(got) == len(want) == 200
+    assert [(tuple(a), b) for a, b in zip(sorted(got), sorted(want)) if not all(map(same, a, b))] == []
+
+
 @pytest.mark.parametrize("name, f, places", [("gamma_map_filter", radar.gamma_map, 4), ("mmse_filter", radar.mmse, 6)])
 def test_filters_of_equal_edges_and_even_windows(spark, name, f, places):
     cells = np.random.default_rng(5).integers(1, 4, (50, 50)) / 3
