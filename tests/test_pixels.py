@@ -420,7 +420,7 @@ def test_files(spark, tmp_path):
     assert inside == want and shapes.first()["class_id"] == 2 and shapes.first()["class_name"] == "water"
 
 
-@pytest.mark.parametrize("name", ["image_algebra"])
+@pytest.mark.parametrize("name", ["image_algebra", "rgb_to_hsv"])
 def test_means_in_the_order_of_the_files(spark, tmp_path, name):
     """Means of 0.05 in truth, whose last digits hang on the order of the sum."""
     rng = np.random.default_rng(8)
