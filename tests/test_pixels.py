@@ -4,6 +4,7 @@ import math
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -458,6 +459,26 @@ def test_filters_of_equal_edges_and_even_windows(spark, name, f, places):
     assert [(tuple(g), w) for g, w in zip(sorted(got), sorted(want)) if not math.isclose(g[2], w[2], abs_tol=2e-4)] == []
 
 
+def test_mmse_filter_to_the_last_digit(spark, tmp_path):
+    """Means with seven decimals that end in 5, and equal edges whose sums' last digits hang on
+    the order of the rows."""
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    (tmp_path / "lineitem.parquet").mkdir()
+    rng = np.random.default_rng(12)
+    x, y = (a.ravel() for a in np.meshgrid(np.arange(20, 70), np.arange(10, 60)))
+    scale = rng.choice([1.0, 1.0, 1.0, 1000.0], x.size)
+    for part, rows in enumerate((3, 8, 1, 20)):
+        cell = rng.permutation(np.repeat(np.arange(x.size), rows))
+        lines = pd.DataFrame({"x": x[cell], "y": y[cell], "q": rng.integers(0, 11, cell.size) / 100 * scale[cell]})  # noqa: F841 - read by name
+        con.execute(f"COPY (SELECT x AS l_suppkey, TIMESTAMP '1995-01-15' + to_months(y::INTEGER) AS l_shipdate, q AS l_quantity, 1.0::DOUBLE AS l_extendedprice, 0.0::DOUBLE AS l_discount, 0.0::DOUBLE AS l_tax FROM lines) TO '{tmp_path}/lineitem.parquet/part-{part}.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = con.sql(registry.SQL["mmse_filter"]).fetchall()
+    got = registry.QUERIES["mmse_filter"](spark, str(tmp_path)).select("x", "y", "v").collect()
+    assert len(got) == len(want) == 2500
+    assert [(tuple(a), b) for a, b in zip(sorted(got), sorted(want)) if tuple(a) != b] == []
+
+
 def test_wavelet_of_a_pure_tone(spark):
     x = np.sin(2 * np.pi * np.arange(128) / 8)
     power = np.abs(series.cwt(x, 1.0, np.array([2.0, 8.0 / 1.033, 30.0])))[:, 40:90].mean(1)
